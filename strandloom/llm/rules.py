@@ -17,6 +17,7 @@ sources are groups of their own.  Repeated rows count as often as they occur.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,12 +40,22 @@ BROADCAST_ROWS = 50_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _pairs(a: Column, b: Column) -> Column:
+    return F.zip_with(a, b, lambda x, y: F.xxhash64(x, y))
+
+
 def _windows(hashes: Column) -> Column:
-    """Hash of each five consecutive words.  ``hashes`` is named twice, so that it is computed once."""
-    return F.transform(
-        F.when(F.size(hashes) >= WINDOW, F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))).otherwise(F.array().cast("array<int>")),
-        lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)),
-    )
+    """Hash of each five consecutive words: of two, of two such, and of the fifth."""
+    n = F.size(hashes)
+    two = lambda h: _pairs(F.slice(h, F.lit(1), F.size(h) - 1), F.slice(h, F.lit(2), F.size(h) - 1))
+    four = lambda p: _pairs(F.slice(p, F.lit(1), F.size(p) - 2), F.slice(p, F.lit(3), F.size(p) - 2))
+    whole = _let(two(hashes), lambda p: _pairs(F.slice(four(p), F.lit(1), F.size(p) - 3), F.slice(hashes, F.lit(5), F.size(p) - 3)))
+    return F.when(n >= WINDOW, whole).otherwise(F.array().cast("array<bigint>"))
 
 
 def _covered(windows: Column) -> Column:
@@ -54,15 +65,21 @@ def _covered(windows: Column) -> Column:
     put back in order of place.  Each covers up to the next one's start, at most
     its own five words.
     """
-    ranked = F.array_sort(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    again = F.array_sort(
-        F.flatten(
-            F.zip_with(
-                F.slice(ranked, F.lit(1), F.size(windows) - 1),
-                F.slice(ranked, F.lit(2), F.size(windows) - 1),
-                lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])).otherwise(F.array().cast("array<int>")),
+    ranked = F.sort_array(F.transform(windows, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    again = _let(
+        ranked,
+        lambda r: F.sort_array(
+            F.flatten(
+                F.filter(
+                    F.zip_with(
+                        F.slice(r, F.lit(1), F.size(r) - 1),
+                        F.slice(r, F.lit(2), F.size(r) - 1),
+                        lambda a, b: F.when(a["h"] == b["h"], F.array(a["i"], b["i"])),
+                    ),
+                    lambda x: x.isNotNull(),
+                )
             )
-        )
+        ),
     )
     steps = F.aggregate(
         again,
