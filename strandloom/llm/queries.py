@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, quality, rules
+from . import mixing, pii, quality, rules, toxicity
+from .scratch import staged
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,8 +27,21 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.scored(docs, toxicity.toxicity_model(docs, _table(spark, sf_dir, "labels")))
+
+
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    result = staged(pii.surrogates(_table(spark, sf_dir, "documents").select("doc_id", "text")), "pii")
+    clash = pii.collisions(result).limit(5).collect()
+    if clash:
+        raise ValueError(f"surrogates stand for more than one entity: {clash}")
+    return pii.counted(result)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op6_quality_rules, op8_source_mixing)}
+    return {f.__name__: f for f in (op3_quality_classifier, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
