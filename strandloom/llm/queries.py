@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pii, quality, rules, toxicity
+from . import decontam, mixing, pii, quality, rules, toxicity
 from .scratch import staged
 
 
@@ -19,6 +19,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, quality.quality_model(docs, _table(spark, sf_dir, "labels")))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op3_quality_classifier, op4_decontamination, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -96,3 +100,21 @@ c AS (SELECT g.source, g.source_size, g.target, g.whole, arg_min(e.cut, struct_p
 SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN bin < cut THEN 1 ELSE 0 END)::BIGINT AS taken, whole + CASE WHEN bin < cut THEN 1 ELSE 0 END AS copies
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
+
+SQL["op4_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+bw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+bs AS (SELECT item_id, w, least(13, len(w)) AS n FROM bw WHERE len(w) > 0),
+bn AS (SELECT item_id, i, n, list_slice(w, i, i + n - 1) AS k FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM bs)),
+sizes AS (SELECT DISTINCT n FROM bn),
+dn AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
+m AS (SELECT dn.doc_id, dn.i AS p, dn.n, bn.item_id, bn.i AS q FROM dn JOIN bn ON dn.n = bn.n AND dn.k = bn.k),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS x FROM m) GROUP BY doc_id),
+it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id),
+g AS (SELECT DISTINCT doc_id, item_id, p, q, n FROM m),
+lm AS (SELECT doc_id, max(len) AS longest FROM (SELECT doc_id, item_id, d, grp, count(*) - 1 + any_value(n) AS len
+        FROM (SELECT doc_id, item_id, n, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS grp FROM g) GROUP BY ALL) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lm USING (doc_id)
+"""
