@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, pii, quality, rules, toxicity
+from . import decontam, minhash, mixing, pii, quality, rules, toxicity
 from .scratch import staged
 
 
@@ -14,6 +14,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.quality_model(docs, _table(spark, sf_dir, "labels")))
@@ -45,7 +49,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_quality_classifier, op4_decontamination, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_decontamination, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
