@@ -11,12 +11,13 @@ def fold(key: Column, n: int) -> Column:
     return F.coalesce(F.crc32(key.cast("string")) % n, F.lit(0))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, text: str = "text") -> DataFrame:
-    """(doc_id, text, label): rows of ``docs`` with a label of 0 or 1, which shuffle by id."""
-    marks = labels.where(F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
-    return docs.select("doc_id", F.col(text).alias("text")).join(marks, "doc_id")
-
-
-def sampled(rows: DataFrame, limit: int, key: str = "doc_id", seed: str = "fit-1") -> DataFrame:
-    """At most ``limit`` rows: those with the smallest seeded hashes of the id, alike in any run."""
-    return rows.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(limit)
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, apart: tuple[int, int], limit: int, text: str = "text", seed: str = "fit-1") -> DataFrame:
+    """(text, label) of at most ``limit`` documents with a label of 0 or 1, of the folds (n, k) but fold k.
+
+    The ids with the smallest seeded hashes are drawn from the labels alone, alike in
+    any run; they are few by the limit, so they are broadcast and no text shuffles.
+    """
+    n, k = apart
+    marks = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), n) != k)).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    drawn = marks.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "doc_id").limit(limit)
+    return docs.select("doc_id", F.col(text).alias("text")).join(F.broadcast(drawn), "doc_id").select("doc_id", "text", "label")

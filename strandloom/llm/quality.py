@@ -19,6 +19,7 @@ whole, in pieces.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold, labelled, sampled
+from .folds import fold, labelled_sample
 
 FIT_ROWS = 6000
 FIT_BYTES = 20_000  # of a training text, for the dictionaries only
@@ -125,9 +126,10 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    rows = labelled(docs, labels, "quality").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    found = sampled(rows, fit_rows).select(F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
-    return fit([(bytes(t) if t is not None else b"", y) for t, y in found])
+    rows = labelled_sample(docs, labels, "quality", (FOLDS, HELD_OUT), fit_rows)
+    found = rows.select("doc_id", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
+    found.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))  # the same order in any run
+    return fit([(bytes(t) if t is not None else b"", y) for _, t, y in found])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

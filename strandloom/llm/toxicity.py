@@ -17,6 +17,7 @@ text scores the base rate.  Rows are scored one by one; repeated rows score alik
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
-from .folds import fold, labelled, sampled
+from .folds import fold, labelled_sample
 
 FIT_ROWS = 8000
 FIT_BYTES = 8000
@@ -278,9 +279,10 @@ def fit(rows: list[tuple[bytes, int]]) -> Model:
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    rows = labelled(docs, labels, "toxic").where(fold(F.col("doc_id"), FOLDS) != HELD_OUT)
-    found = sampled(rows, fit_rows).select(F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
-    return fit([(bytes(t) if t is not None else b"", y) for t, y in found])
+    rows = labelled_sample(docs, labels, "toxic", (FOLDS, HELD_OUT), fit_rows)
+    found = rows.select("doc_id", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
+    found.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))  # the same order in any run
+    return fit([(bytes(t) if t is not None else b"", y) for _, t, y in found])
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
