@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, pii, quality, rules, toxicity, warc
+from . import decontam, minhash, mixing, pii, quality, rules, substrings, toxicity, warc
 from .scratch import staged
 
 
@@ -35,6 +35,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.digest(substrings.removed(_table(spark, sf_dir, "documents")))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed_sizes(_table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_decontamination, op5_arc_to_warc, op6_quality_rules, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_decontamination, op5_arc_to_warc, op6_quality_rules, op7_repeated_passages, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
