@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, minhash, mixing, pii, quality, rules, substrings, toxicity, warc
+from . import decontam, lm, minhash, mixing, pii, quality, rules, substrings, toxicity, warc
 from .scratch import staged
 
 
@@ -18,6 +18,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.classes(_table(spark, sf_dir, "documents"))
 
 
+def op2_gated_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scored(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality.scored(docs, quality.quality_model(docs, _table(spark, sf_dir, "labels")))
@@ -57,7 +61,7 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op3_quality_classifier, op4_decontamination, op5_arc_to_warc, op6_quality_rules, op7_repeated_passages, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_gated_language_model, op3_quality_classifier, op4_decontamination, op5_arc_to_warc, op6_quality_rules, op7_repeated_passages, op8_source_mixing, op9_toxicity_trees, op10_pii_surrogates)}
 
 
 def oracle_sql() -> dict[str, str]:
