@@ -14,13 +14,13 @@ one point a shingle.
 
 *Bands.*  25 bands of 5 slots: a pair at 0.8 is missed with odds of 5e-5.
 
-*Verification.*  Equal texts collapse first.  In each bucket the document with the smallest hash
-leads; all others are verified against it, on the words themselves, and drop out
-of the question once they belong to the same class.  Buckets left with several classes go on
-without their leader.  When the pairs left in all buckets are few
-(``PAIRS_PER_ROW`` times the rows) or after ``ROUNDS`` rounds, all pairs of different
-classes are verified, so that no link between different texts of a bucket is lost and a
-bucket of n copies takes n pairs, not n squared.
+*Verification.*  Equal texts collapse first.  In each bucket the document in the middle, the one that shares
+most buckets with most others, leads, and all others are verified against it, on the words
+themselves; so a bucket of n near copies takes n pairs, not n squared.  After ``ROUNDS`` leaders, buckets
+that still hold several classes are compared row by row in blocks, without emitting pairs that
+are ruled out: by their sizes and the shingles that no other text has (an upper bound of the
+similarity), or by their slots.  What is left is verified on the words, so that no link between
+different texts of a bucket is lost.
 
 Texts without words (null, empty, blank) are classes of their own.  Rows that share an
 id are one node.  A row with a null id gets a null class.
@@ -44,8 +44,10 @@ from .scratch import staged
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
-ROUNDS = 6
-PAIRS_PER_ROW = 2
+ROUNDS = 1
+BLOCK = 4096  # rows of a bucket compared at a time
+#: Pairs whose slots agree in a smaller share are not read: at similarity 0.8 the odds of that are 1e-6.
+LEAST_ESTIMATE = 0.62
 #: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 400_000
 _TABLE = tx.byte_table()
@@ -98,25 +100,33 @@ def bands(times: np.ndarray, n: int = BANDS) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, digest, bands); texts without words have neither digest nor bands."""
+    """(doc_id, digest, bands, slots, size); texts without words have none of them.
+
+    slots has one byte of each signature slot: enough to estimate a similarity.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             offsets, data = tx.binary_parts(batch.column(1))
             for w in tx.tokenise(batch.column(1), _TABLE):
-                digests, codes = [], []
+                digests, codes, slots, sizes = [], [], [], []
                 for i in range(len(w.first) - 1):
                     words = w.hash[w.first[i] : w.first[i + 1]]
                     if not len(words):
-                        digests.append(None)
-                        codes.append(None)
+                        for x in (digests, codes, slots, sizes):
+                            x.append(None)
                         continue
                     row = w.row + i
                     digests.append(xxhash.xxh3_128_digest(data[offsets[row] : offsets[row + 1]]))
-                    codes.append(bands(signature(tx.windows(words, min(SHINGLE, len(words))))))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(digests)), pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+                    shingles = tx.windows(words, min(SHINGLE, len(words)))
+                    times = signature(shingles)
+                    codes.append(bands(times))
+                    slots.append((tx.mix(times.view(_U)) & _U(255)).astype(np.uint8).tobytes())
+                    sizes.append(len(shingles))
+                columns = [pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(digests)), *columns], names=["doc_id", "digest", "bands", "slots", "size"])
 
-    return docs.select("doc_id", F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
+    return docs.select("doc_id", F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, bands array<long>, slots binary, size long")
 
 
 def multiset(text: bytes) -> Counter:
@@ -164,44 +174,120 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long")
 
 
-def links(members: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(id, label) of all documents with a verified link."""
-    rows_left = max(members.count(), 1)
-    edges, classes = None, None
-    state = members.withColumn("label", F.col("id"))
-    for step in range(ROUNDS + 1):
-        leader = state.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))).alias("lead")).select("bucket", F.col("lead.id").alias("leader"))
-        led = staged(state.join(leader, "bucket"), "minhash-led")
-        heads = led.where("id = leader").select("bucket", F.col("label").alias("head"))
-        pairs = led.where("id <> leader").join(heads, "bucket").where("label <> head").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+def _unshared(texts: DataFrame) -> DataFrame:
+    """(id, alone): how many of a text's shingles, repeats counted, stand in no other of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in tx.tokenise(batch.column(1), _TABLE):
+                ids, codes, counts = [], [], []
+                for i, key in enumerate(batch.column(0).slice(w.row, len(w.first) - 1).to_pylist()):
+                    words = w.hash[w.first[i] : w.first[i + 1]]
+                    if len(words):
+                        x, n = np.unique(tx.windows(words, min(SHINGLE, len(words))), return_counts=True)
+                        ids.append(np.full(len(x), key, np.int64))
+                        codes.append(x.view(np.int64))
+                        counts.append(n)
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["id", "shingle", "n"])
+
+    rows = texts.select("id", "body").mapInArrow(run, "id long, shingle long, n long")
+    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("id"), F.min("n").alias("n")).where("texts = 1")
+    return single.groupBy("id").agg(F.sum("n").alias("alone"))
+
+
+def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's block that may be similar enough.  Rows come sorted by group.
+
+    With sizes n and unshared shingles u, two texts have at most o = min(n - u, m - v) shingles in
+    common, so their similarity is at most o / (n + m - o); and their slots agree near their similarity.
+    """
+    held: list[pa.RecordBatch] = []
+
+    def settle(rows: pa.Table) -> pa.RecordBatch:
+        ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
+        size, alone = rows.column("size").to_numpy().astype(float), rows.column("alone").to_numpy().astype(float)
+        side = rows.column("side").to_numpy()
+        slots = np.frombuffer(b"".join(rows.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
+        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in one:
+            js = two[label[two] > label[i]] if (side[i] == 2) else two[label[two] != label[i]]
+            common = np.minimum(size[i] - alone[i], size[js] - alone[js])
+            js = js[common >= (SIMILARITY - 1e-9) * (size[i] + size[js] - common)]
+            js = js[(slots[js] == slots[i]).mean(axis=1) >= LEAST_ESTIMATE]
+            left.append(np.full(len(js), ids[i]))
+            right.append(ids[js])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        keys = list(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2)], strict=True))
+        cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
+        for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and tuple(held[-1].column(c)[0].as_py() for c in (0, 1, 2)) != keys[low]:
+                yield settle(pa.Table.from_batches(held))
+                held = []
+            held.append(batch.slice(low, high - low))
+    if held:
+        yield settle(pa.Table.from_batches(held))
+
+
+def _rest(state: DataFrame, several: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
+    """(a, b): the pairs of different classes in a bucket that are not ruled out.
+
+    A bucket of n rows is cut in blocks of BLOCK rows, and each pair of blocks is one group.
+    """
+    state = staged(state, "minhash-rest")
+    ids = state.select("id").distinct()
+    alone = _unshared(texts.join(ids, "id", "left_semi"))
+    facts = facts.join(ids, "id", "left_semi").join(alone, "id", "left").select("id", "slots", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
+    rows = state.join(several.select("bucket", "rows"), "bucket").join(facts, "id")
+    n = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
+    mine = F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
+    others = F.sequence(F.lit(0), n - 1)
+    groups = F.explode(F.transform(others, lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), F.when(o == mine, 2).when(mine < o, 0).otherwise(1).alias("side"))))
+    rows = rows.select("bucket", groups.alias("g"), "id", "label", "slots", "size", "alone").select("bucket", "g.x", "g.y", "g.side", "id", "label", "slots", "size", "alone")
+    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
+    return rows.mapInArrow(_open_pairs, "a long, b long").distinct()
+
+
+def links(members: DataFrame, texts: DataFrame, facts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(id, label) of all documents with a verified link.  facts: (id, slots, size)."""
+    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    # Texts that share many buckets with many others stand in the middle of their group.
+    middle = members.join(sizes, "bucket").groupBy("id").agg(F.sum("rows").alias("middle"))
+    state = staged(members.join(middle, "id").withColumn("label", F.col("id")), "minhash-state")
+    edges = None
+    for _ in range(ROUNDS):
+        first = F.max(F.struct("middle", F.xxhash64("id").alias("h"), "id", "label"))
+        lead = state.groupBy("bucket").agg(first.alias("lead")).select("bucket", F.col("lead.id").alias("leader"), F.col("lead.label").alias("head"))
+        led = staged(state.join(lead, "bucket"), "minhash-led")
+        pairs = led.where("label <> head").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
         found = staged(verified(pairs, texts, threshold), "minhash-edges")
         edges = found if edges is None else edges.unionByName(found)
-        classes = components(edges)
-        state = led.where("id <> leader").drop("leader", "label").join(classes, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        open_ = state.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-        state = staged(state.join(open_, "bucket", "left_semi"), "minhash-open")
-        sizes = state.groupBy("bucket", "label").agg(F.count(F.lit(1)).cast("double").alias("n")).groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("pairs"))
-        pairs_left = sizes.agg(F.sum("pairs")).first()[0] or 0
-        if not pairs_left:
-            return classes
-        if pairs_left <= PAIRS_PER_ROW * rows_left or step == ROUNDS:
-            break
-    one, two = state.select("bucket", F.col("id").alias("a"), F.col("label").alias("la")), state.select("bucket", F.col("id").alias("b"), F.col("label").alias("lb"))
-    rest = one.join(two, "bucket").where("la < lb").select("a", "b").distinct()
+        label = components(edges)
+        state = led.where("id <> leader").drop("label", "leader", "head").join(label, "id", "left").select("bucket", "id", "middle", F.coalesce("label", "id").alias("label"))
+        several = state.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y")
+        state = staged(state.join(several.select("bucket"), "bucket", "left_semi"), "minhash-state")
+        if not state.limit(1).count():
+            return label
+    several = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    rest = _rest(state.select("bucket", "id", "label"), several, texts, facts)
     return components(edges.unionByName(staged(verified(rest, texts, threshold), "minhash-edges")))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
     """(doc_id, class_id, digest), one row a document: the class is its smallest id."""
     sig = staged(signatures(docs, text), "minhash-signatures")
-    same = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
-    reps = staged(same.select("digest", F.col("r.doc_id").alias("id"), F.col("r.bands").alias("bands")), "minhash-reps")
+    same = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "slots", "size")).alias("r"))
+    reps = staged(same.select("digest", F.col("r.doc_id").alias("id"), "r.bands", "r.slots", "r.size"), "minhash-reps")
     members = _members(sig, reps)
     ids = staged(members.select("id").distinct(), "minhash-ids")
     wanted = F.broadcast(ids) if _few(ids) else ids
     body = docs.select(F.col("doc_id").alias("id"), F.col(text).cast("binary").alias("body")).join(wanted, "id", "left_semi")
     texts = staged(body.where("body IS NOT NULL").dropDuplicates(["id"]) if _repeats(sig) else body, "minhash-texts")
-    label = links(members, texts)
+    label = links(members, texts, reps.select("id", "slots", "size"))
     named = reps.select("digest", "id").join(label, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
     return sig.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
