@@ -54,7 +54,8 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
     level = left / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
     df = df.withColumn("level", level)
     # The first source whose cap is above the level ends the prefix; its level holds for all after it.
-    open_level = F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), "level"))).over(every)["level"]
+    # Among sources of the same cap / weight the first has the highest level.
+    open_level = -F.min(F.when(F.col("cap") >= F.col("level") * F.col("weight"), F.struct(F.col("cap") / F.col("weight"), (-F.col("level")).alias("down")))).over(every)["down"]
     return df.select("source", "source_size", F.least("cap", F.coalesce(open_level * F.col("weight"), F.col("cap"))).alias("target"))
 
 

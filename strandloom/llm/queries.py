@@ -107,7 +107,7 @@ s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 o AS (SELECT *, [5.0, 2.0, 1.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS weight, 3.0::DOUBLE * source_size AS cap FROM s),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER p, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER p, 0)) AS level
       FROM o WINDOW p AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, cap / weight) FROM l WHERE cap >= level * weight) * weight, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, struct_pack(a := cap / weight, b := -level)) FROM l WHERE cap >= level * weight) * weight, cap)) AS target FROM l),
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS whole FROM t),
 e AS (SELECT source, bin + 1 AS cut, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS below FROM d GROUP BY source, bin
       UNION ALL SELECT source, 0, 0 FROM s),
