@@ -173,6 +173,8 @@ def shard(b: Block, column: pa.Array) -> list[Found]:
     diagonal = place - b.place[window]
     order = np.lexsort((place, diagonal, item, row))
     r, i, d, p, size = row[order], item[order], diagonal[order], place[order], length[order]
+    once = np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1])])
+    r, i, d, p, size = r[once], i[once], d[once], p[once], size[once]  # rows of an item may repeat
     new = np.concatenate([[True], (r[1:] != r[:-1]) | (i[1:] != i[:-1]) | (d[1:] != d[:-1]) | (p[1:] != p[:-1] + 1)])
     run = np.cumsum(new) - 1
     lengths = np.bincount(run) - 1 + size[new]
