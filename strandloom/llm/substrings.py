@@ -43,8 +43,6 @@ WINDOW = 35
 GRAM = 8
 HOT = 20_000
 SHARD_BYTES = 6 << 20
-#: Documents and array entries that are broadcast at most (under 32 MB); beyond, the join shuffles.
-BROADCAST_ROWS, BROADCAST_ENTRIES = 300_000, 4_000_000
 _TABLE = tx.byte_table()
 
 
@@ -289,12 +287,6 @@ def _search(table: pa.Table) -> pa.Table:
     return pa.table({"digest": table.column("digest").take(pa.array(got, pa.int64())), "runs": pa.array([runs[i] for i in got], pa.list_(pa.int32()))})
 
 
-def _small(rows: DataFrame, entries: str) -> DataFrame:
-    """``rows`` marked for broadcast if it is small enough."""
-    n, size = rows.agg(F.count(F.lit(1)), F.sum(F.size(entries))).first()
-    return F.broadcast(rows) if n <= BROADCAST_ROWS and (size or 0) <= BROADCAST_ENTRIES else rows
-
-
 def intervals(docs: DataFrame) -> DataFrame:
     """(uid, runs) of texts with repeated windows.  docs: (uid, text), uids differ."""
     keys = staged(_keys(docs), "fm-keys")
@@ -302,7 +294,7 @@ def intervals(docs: DataFrame) -> DataFrame:
     several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     chosen = rows.join(several, "key", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("place")).alias("places"))
     chosen = staged(chosen, "fm-chosen")
-    cut = _without_hot(staged(_cut(docs.join(_small(chosen, "places"), "uid")), "fm-segments"))
+    cut = _without_hot(staged(_cut(docs.join(chosen, "uid")), "fm-segments"))
     counted = cut.groupBy("digest").agg(F.first("key").alias("key"), F.first("body").alias("body"), F.count(F.lit(1)).alias("n"))
     size = cut.agg(F.sum(F.length("body"))).first()[0] or 0
     shards = max(1, -(-int(size) // SHARD_BYTES))
@@ -322,7 +314,7 @@ def removed(docs: DataFrame) -> DataFrame:
     else:
         base = base.withColumn("uid", F.col("doc_id").cast("long"))
     found = intervals(base.select("uid", "text"))
-    both = base.join(_small(found, "runs"), "uid", "left").select("doc_id", "text", "runs")
+    both = base.join(found, "uid", "left").select("doc_id", "text", "runs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
