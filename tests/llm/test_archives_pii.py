@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import re
 
 import pytest
@@ -103,7 +104,8 @@ def test_surrogates_on_rows(spark, odd_docs, no_docs):
 
 def test_pipeline(spark, tmp_path, odd_docs):
     words = [f"word{i}" for i in range(400)]
-    clean = [" ".join(words[(i * 7 + j * (i + 3)) % 400] for j in range(60)) for i in range(40)]
+    rng = random.Random(6)
+    clean = [" ".join(rng.choice(words) for _ in range(60)) for _ in range(40)]
     bench = " ".join(f"bench{i}" for i in range(20))
     rows = [(i, t, "en", f"s{i % 2}", len(t)) for i, t in enumerate(clean)]
     rows += [(100, clean[0], "en", "s0", 1), (101, clean[1] + " tail", "en", "s1", 1), (102, clean[2] + " " + bench, "en", "s0", 1), (103, "too short", "en", "s0", 1), (104, None, "en", "s0", None), (105, " ".join(reversed(words[:90])) + " write to a.b@mail.example.com", "en", "s1", 1)]
