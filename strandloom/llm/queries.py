@@ -87,8 +87,8 @@ r AS (SELECT *, coalesce(wc, 0) AS word_chars, (n_words < 10 OR 100 * n_repeat_w
              CASE WHEN n_words > 0 THEN 1000 * n_repeat_words // n_words ELSE 0 END AS r3,
              CASE WHEN n_words > 0 THEN 1000 * coalesce(wc, 0) // n_words ELSE 0 END AS r4 FROM m),
 x AS (SELECT lang, source, u.rate AS rate, u.least_spread AS ls, u.v AS v FROM
-      (SELECT lang, source, unnest([{'rate': 1, 'least_spread': 50, 'v': r1}, {'rate': 2, 'least_spread': 50, 'v': r2},
-                                    {'rate': 3, 'least_spread': 50, 'v': r3}, {'rate': 4, 'least_spread': 2000, 'v': r4}]) AS u FROM r WHERE NOT base_failed)),
+      (SELECT lang, source, unnest([{'rate': 1, 'least_spread': 50, 'v': r1}, {'rate': 2, 'least_spread': 100, 'v': r2},
+                                    {'rate': 3, 'least_spread': 70, 'v': r3}, {'rate': 4, 'least_spread': 2000, 'v': r4}]) AS u FROM r WHERE NOT base_failed)),
 b AS (SELECT lang, source, rate, ls, CASE WHEN v < 64 THEN v ELSE (v >> (length(bin(v)) - 6)::BIGINT) << (length(bin(v)) - 6)::BIGINT END AS bin FROM x),
 q AS (SELECT lang, source, rate, any_value(ls) AS ls, count(*) AS n, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM b GROUP BY ALL),
 qa AS (SELECT rate, any_value(ls) AS ls, quantile_disc(bin, 0.25) AS q25, quantile_disc(bin, 0.75) AS q75 FROM b GROUP BY ALL),

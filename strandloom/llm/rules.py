@@ -33,7 +33,7 @@ WINDOW = 5
 SPREAD = 3
 MIN_GROUP = 30
 #: The rates, in thousandths, and the least spread of each.
-RATES = {"symbol_rate": 50, "dup_line_rate": 50, "repeat_rate": 50, "word_length": 2000}
+RATES = {"symbol_rate": 50, "dup_line_rate": 100, "repeat_rate": 70, "word_length": 2000}
 #: Fence rows that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 
