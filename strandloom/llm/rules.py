@@ -109,17 +109,17 @@ def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     df = df.withColumn("_rules", F.struct(*[c.alias(k) for k, c in counts.items()])).drop("_body", "_words", "_hashes", "_lines", "_windows")
     r = F.col("_rules")
     per = lambda a, b: F.expr(f"CASE WHEN _rules.{b} > 0 THEN (1000 * _rules.{a}) DIV _rules.{b} ELSE 0 END")
-    return df.withColumn(
-        "_rules",
-        F.struct(
-            *[r[k].alias(k) for k in counts],
-            ((r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > REPEAT_PERCENT * r["n_words"])).alias("base_failed"),
-            per("n_symbols", "n_words").alias("symbol_rate"),
-            per("n_dup_lines", "n_lines").alias("dup_line_rate"),
-            per("n_repeat_words", "n_words").alias("repeat_rate"),
-            per("word_chars", "n_words").alias("word_length"),
-        ),
+    rules = F.struct(
+        *[r[k].alias(k) for k in counts],
+        ((r["n_words"] < MIN_WORDS) | (100 * r["n_repeat_words"] > REPEAT_PERCENT * r["n_words"])).alias("base_failed"),
+        per("n_symbols", "n_words").alias("symbol_rate"),
+        per("n_dup_lines", "n_lines").alias("dup_line_rate"),
+        per("n_repeat_words", "n_words").alias("repeat_rate"),
+        per("word_chars", "n_words").alias("word_length"),
     )
+    # A generator of one row: filters on the measures are not pushed below it, where they would be computed again.
+    rest = [c for c in df.columns if c != "_rules"]
+    return df.select(*rest, F.explode(F.array(rules)).alias("_rules"))
 
 
 def _binned(value: str) -> Column:
