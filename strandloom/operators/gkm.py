@@ -31,6 +31,8 @@ from .encoders import Batch, array_rc, deltas, grouped, positional_lmers
 #: Distinct (sequence, code) reference rows, times neighbours, that are broadcast at most.
 BROADCAST_ENTRIES = 20_000_000
 NEIGHBOURS = 5000
+#: Numbers of codes up to which a sequence is a dense vector of counts.
+DENSE_CODES = 1 << 14
 
 
 def _sum_duplicates(code: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -50,6 +52,56 @@ def pair_sum(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray, weigh
     return total
 
 
+def _hadamard(x: np.ndarray) -> np.ndarray:
+    """Walsh-Hadamard transform of each row; the length is a power of two."""
+    rows, n = x.shape
+    step = 1
+    while step < n:
+        x = x.reshape(rows, n // (2 * step), 2, step)
+        x = np.stack([x[:, :, 0] + x[:, :, 1], x[:, :, 0] - x[:, :, 1]], axis=2)
+        step *= 2
+    return x.reshape(rows, n)
+
+
+def _spectrum(L: int, weights: np.ndarray) -> np.ndarray:
+    """Eigenvalues of the matrix w[h(x, y)] over all codes: it is a convolution on the bits of x ^ y.
+
+    For a character that is trivial at all but t bases, the value is the sum over h of w[h] times the
+    coefficient of z**h in (1 - z)**t * (1 + 3z)**(L - t).
+    """
+    by_t = []
+    for t in range(L + 1):
+        poly = np.array([1.0])
+        for i in range(L):
+            poly = np.convolve(poly, [1.0, -1.0] if i < t else [1.0, 3.0])
+        by_t.append(float(poly[: len(weights)] @ weights))
+    codes = np.arange(4**L)
+    return np.array(by_t)[np.bitwise_count((codes | codes >> 1) & 0x5555555555555555)]
+
+
+def self_sums(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int, L: int, weights: np.ndarray, use_rc: bool) -> np.ndarray:
+    """raw(a, a) of each sequence of a batch, from its (row, code, count), sorted by row."""
+    out = np.zeros(rows)
+    cuts = np.searchsorted(row, np.arange(rows + 1))
+    if 4**L > DENSE_CODES:
+        for i in range(rows):
+            c, w = code[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]].astype(float)
+            both, wb = _sum_duplicates(np.concatenate([c, array_rc(c, L)]), np.concatenate([w, w])) if use_rc else (c, w)
+            out[i] = pair_sum(c, w, both, wb, weights)
+        return out
+    values, turned = _spectrum(L, weights) / 4**L, array_rc(np.arange(4**L), L)
+    step = max(1, (1 << 18) // 4**L)
+    for low in range(0, rows, step):
+        high = min(rows, low + step)
+        part = slice(cuts[low], cuts[high])
+        dense = np.zeros((high - low, 4**L))
+        dense[row[part] - low, code[part]] = n[part]
+        forward = _hadamard(dense)
+        both = _hadamard(dense + dense[:, turned]) if use_rc else forward
+        out[low:high] = (forward * both) @ values
+    return out
+
+
 class _Sides:
     """Both L-mer sides of a set of sequences: ``forward`` and ``both`` as (seq_id, by..., code, n)."""
 
@@ -196,13 +248,7 @@ class GKMKernel(BaseGKMKernel):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 b = Batch(batch.column(0), batch.column(1), 0)
-                row, code, n = grouped(*b.windows(L), 4**L)
-                cuts = np.searchsorted(row, np.arange(len(batch) + 1))
-                out = np.zeros(len(batch))
-                for i in range(len(batch)):
-                    c, w = code[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]].astype(float)
-                    both, wb = _sum_duplicates(np.concatenate([c, array_rc(c, L)]), np.concatenate([w, w])) if use_rc else (c, w)
-                    out[i] = np.sqrt(max(0.0, pair_sum(c, w, both, wb, weights)))
+                out = np.sqrt(np.maximum(0.0, self_sums(*grouped(*b.windows(L), 4**L), len(batch), L, weights, use_rc)))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=["seq_id", "norm"])
 
         rows = df.select(F.col("seq_id").cast("long"), F.upper(F.col("seq")).cast("binary"))
@@ -238,24 +284,31 @@ class GKMKernel(BaseGKMKernel):
             row, code, n = np.concatenate([row, row]), np.concatenate([code, array_rc(code, L)]), np.concatenate([n, n])
         x, h = deltas(L, self.d)
         key, value = _sum_duplicates(((code[:, None] ^ x) * len(found) + row[:, None]).ravel(), (n[:, None] * weights[h]).ravel())
-        shared = refs.sparkSession.sparkContext.broadcast((key // len(found), key % len(found), value, [r[0] for r in found], np.array([norms[r[0]] for r in found])))
+        dense = None
+        if 4**L <= DENSE_CODES and 4**L * len(found) <= BROADCAST_ENTRIES:
+            dense = np.zeros(4**L * len(found))
+            dense[key] = value
+            dense = dense.reshape(4**L, len(found))
+            key = value = key[:0]
+        shared = refs.sparkSession.sparkContext.broadcast((dense, key // len(found), key % len(found), value, [r[0] for r in found], np.array([norms[r[0]] for r in found])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            codes, owner, value, ids, rn = shared.value
+            dense, codes, owner, value, ids, rn = shared.value
             m = len(ids)
             for batch in batches:
                 q = Batch(batch.column(0), batch.column(1), 0)
                 row, code, n = grouped(*q.windows(L), 4**L)
                 cuts = np.searchsorted(row, np.arange(len(batch) + 1))
-                raw, qn = np.zeros((len(batch), m)), np.zeros(len(batch))
+                raw, qn = np.zeros((len(batch), m)), np.sqrt(np.maximum(0.0, self_sums(row, code, n, len(batch), L, weights, use_rc)))
                 for i in range(len(batch)):
                     c, w = code[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]].astype(float)
+                    if dense is not None:
+                        raw[i] = w @ dense[c]
+                        continue
                     low, high = np.searchsorted(codes, c), np.searchsorted(codes, c, side="right")
                     size = high - low
                     at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
                     raw[i] = np.bincount(owner[at], weights=value[at] * np.repeat(w, size), minlength=m)
-                    both, wb = _sum_duplicates(np.concatenate([c, array_rc(c, L)]), np.concatenate([w, w])) if use_rc else (c, w)
-                    qn[i] = np.sqrt(max(0.0, pair_sum(c, w, both, wb, weights)))
                 scale = np.outer(qn, rn)
                 k = np.divide(raw, scale, out=np.zeros_like(raw), where=scale > 0)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), m))), pa.array(np.tile(np.array(ids, np.int64), len(batch))), pa.array(k.ravel())], names=["q_id", "r_id", "k"])
