@@ -13,8 +13,8 @@ count, one share being that of all unseen words.  The model is so a distribution
 one unknown word a tail class.
 
 *Training.*  Truncated backpropagation in NumPy over windows of 32 words, state carried on and reset at
-the ends of texts.  Training texts are drawn by a seeded hash at ``FRACTION`` (more of a corpus under
-``LEAST_TOKENS`` words) and dealt to workers of about ``WORKER_TOKENS`` words, so that what is learned from grows with the corpus.
+the ends of texts.  All training texts are read, at every size: a seeded hash deals them to workers of about
+``WORKER_TOKENS`` words, whose number grows with the corpus.
 One worker warms up the model; all then go on from there on their own texts and their weights are averaged, in
 two levels.
 
@@ -44,7 +44,7 @@ FOLDS, HELD_OUT = 7, 2
 HEAD, CLASSES, HIDDEN = 2048, 46, 24
 TAILS = 24
 RANGE_BYTES = 16 << 20  # of text for each hash range
-FRACTION, LEAST_TOKENS, WORKER_TOKENS = 1 / 48, 1_000_000, 450_000
+WORKER_TOKENS = 450_000
 LANES, STEPS, RATE = 64, 32, 0.15
 GROUP = 512  # texts scored side by side
 _TABLE = tx.byte_table(lower=True)
@@ -334,29 +334,35 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
         t_max = x_ids.shape[1]
         flat_grad = np.zeros(_SIZE, np.float32)
         grad = unpack(flat_grad)
-        x = net["table"][x_ids]
-        alive = (x_ids != end).astype(np.float32)
-        states, kept = np.zeros((t_max, lanes, k), np.float32), []
+        x = net["table"][x_ids.T]
+        alive = (x_ids.T != end).astype(np.float32)[:, :, None]
+        states, starts = np.empty((t_max, lanes, k), np.float32), np.empty((t_max, lanes, k), np.float32)
+        kept = []
         for t in range(t_max):
-            h0 = h * alive[:, t : t + 1]
-            h, saved = _step(net, x[:, t], h0)
+            starts[t] = h * alive[t]
+            h, saved = _step(net, x[t], starts[t])
             states[t] = h
-            kept.append((h0, saved))
+            kept.append(saved)
         _, back = outputs(net, states.reshape(-1, k), y_ids.T.reshape(-1), grad)
         back = back.reshape(t_max, lanes, k)
+        z, r, n, an = map(np.stack, zip(*kept, strict=True))
+        by_n, by_z, by_r = (1 - z) * (1 - n * n), (starts - n) * z * (1 - z), an * r * (1 - r)
         dh = np.zeros((lanes, k), np.float32)
-        dx = np.zeros((lanes, t_max, 3 * k), np.float32)
+        da, dx = np.empty((t_max, lanes, 3 * k), np.float32), np.empty((t_max, lanes, 3 * k), np.float32)
         for t in range(t_max - 1, -1, -1):
-            h0, (z, r, n, an) = kept[t]
             dh = dh + back[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (h0 - n) * z * (1 - z)
-            dr = dn * an * r * (1 - r)
-            da = np.concatenate([dz, dr, dn * r], axis=1)
-            dx[:, t] = np.concatenate([dz, dr, dn], axis=1)
-            grad["loop"] += h0.T @ da
-            dh = (dh * z + da @ net["loop"].T) * alive[:, t : t + 1]
-        np.add.at(grad["table"], x_ids.reshape(-1), dx.reshape(-1, 3 * k))
+            dn = np.multiply(dh, by_n[t], out=dx[t, :, 2 * k :])
+            np.multiply(dh, by_z[t], out=da[t, :, :k])
+            np.multiply(dn, by_r[t], out=da[t, :, k : 2 * k])
+            np.multiply(dn, r[t], out=da[t, :, 2 * k :])
+            dh = (dh * z[t] + da[t] @ net["loop"].T) * alive[t]
+        dx[:, :, : 2 * k] = da[:, :, : 2 * k]
+        grad["loop"] += starts.reshape(-1, k).T @ da.reshape(-1, 3 * k)
+        words = x_ids.T.reshape(-1)
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+        grad["table"][words[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
         flat_grad /= lanes * t_max / 32
         np.clip(flat_grad, -5, 5, out=flat_grad)
         power += flat_grad * flat_grad
@@ -421,10 +427,7 @@ def _trained(docs: DataFrame, v: Vocabulary, total_tokens: int) -> np.ndarray:
     first = start(v)
     if not v.tokens:
         return first
-    share = max(FRACTION, min(1.0, LEAST_TOKENS / v.tokens))
-    workers = max(1, round(v.tokens * share / WORKER_TOKENS))
-    u = F.pmod(F.xxhash64("uid", F.lit(11)), F.lit(1 << 20))
-    drawn = docs.where("trains").where(u < int(share * (1 << 20)))
+    workers = max(1, round(v.tokens / WORKER_TOKENS))
     shared = spark.sparkContext.broadcast(v)
     end = int(v.ids(np.array([_END]), np.zeros(1, np.uint8))[0])
 
@@ -435,7 +438,7 @@ def _trained(docs: DataFrame, v: Vocabulary, total_tokens: int) -> np.ndarray:
             ids = words.ids(b.code, b.tail).astype(np.uint16)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:z].tobytes() for a, z in zip(b.bounds[:-1], b.bounds[1:], strict=True)], pa.binary())], names=["uid", "ids"])
 
-    streams = drawn.select("uid", "body").mapInArrow(encode, "uid long, ids binary")
+    streams = docs.where("trains").select("uid", "body").mapInArrow(encode, "uid long, ids binary")
     streams = staged(streams.withColumn("worker", F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(workers))), "lm-streams")
 
     def fitter(weights: np.ndarray):
@@ -450,11 +453,12 @@ def _trained(docs: DataFrame, v: Vocabulary, total_tokens: int) -> np.ndarray:
         return fit
 
     kind = "worker long, weights binary, n long"
-    warm = streams.where("worker = 0").groupBy("worker").applyInArrow(fitter(first), kind).collect()
+    lowest = streams.agg(F.min("worker")).first()[0]
+    warm = streams.where(F.col("worker") == lowest).groupBy("worker").applyInArrow(fitter(first), kind).collect()
     if not warm:
         return first
     weights = np.frombuffer(warm[0]["weights"], np.float64).astype(np.float32)
-    return _average(staged(streams.groupBy("worker").applyInArrow(fitter(weights), kind), "lm-weights"))
+    return _average(staged(streams.repartition(workers, "worker").groupBy("worker").applyInArrow(fitter(weights), kind), "lm-weights"))
 
 
 def scored(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -143,6 +143,26 @@ def test_language_model(spark, odd_docs, no_docs, monkeypatch):
     assert lm.scored(no_docs).count() == 0
 
 
+@pytest.mark.parametrize("tokens", [900_000, 3_000_000, 60_000_000])
+def test_all_training_texts_reach_the_network(spark, monkeypatch, tokens):
+    rows = [(i, i % 5 != 0, f"w{i} w{i + 1} w0".encode()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "uid long, trains boolean, body binary")
+    v = lm.Vocabulary(np.array([lm._END], np.uint64), np.array([0], np.int32), np.array([400]), np.full(lm.TAILS, 3.0), tokens, 400)
+    kept = {}
+
+    def keep(df, name):
+        kept[name] = df.localCheckpoint()
+        return kept[name]
+
+    monkeypatch.setattr(lm, "staged", keep)
+    monkeypatch.setattr(lm, "WORKER_TOKENS", tokens // 3)
+    assert not np.array_equal(lm._trained(docs, v, tokens), lm.start(v))
+    got = kept["lm-streams"].collect()
+    assert sorted(r.uid for r in got) == [i for i, trains, _ in rows if trains]
+    assert all(len(r.ids) == 4 * 2 for r in got)  # three words and the end token
+    assert {r.worker for r in got} == {r.worker for r in kept["lm-weights"].collect()} == {0, 1, 2}
+
+
 def test_model_is_a_distribution():
     v = lm.Vocabulary(np.array([3, 5, 9], np.uint64), np.array([0, 1, 2], np.int32), np.array([8, 4, 2]), np.full(lm.TAILS, 3.0), 14, 3)
     net = lm.unpack(lm.start(v))
