@@ -443,15 +443,20 @@ _topk_query("ann_topk_levenshtein", "levenshtein", _topk_sql("levenshtein(a.seq,
 _topk_query("ann_topk_hamming", "hamming", _topk_sql("CASE WHEN length(a.seq) = length(b.seq) THEN CASE WHEN length(a.seq) > 0 THEN hamming(a.seq, b.seq) ELSE 0 END ELSE greatest(length(a.seq), length(b.seq)) END"))
 
 
+def _aligned(spark: SparkSession, sf_dir: str, metric: str) -> DataFrame:
+    docs = document_sequences(spark, sf_dir)
+    return ANNIndex(_spread(docs), metric).query(_spread(_searches(docs)), 10)
+
+
 @_add("ann_topk_nw")
 def ann_topk_nw(spark, sf_dir):
-    """Benchmark items nearest to each searched document."""
-    return ANNIndex(_spread(benchmark_sequences(spark, sf_dir)), "nw").query(_searches(document_sequences(spark, sf_dir)), 10)
+    """Documents nearest to each searched document, all documents looked at."""
+    return _aligned(spark, sf_dir, "nw")
 
 
 @_add("ann_topk_sw")
 def ann_topk_sw(spark, sf_dir):
-    return ANNIndex(_spread(benchmark_sequences(spark, sf_dir)), "sw").query(_searches(document_sequences(spark, sf_dir)), 10)
+    return _aligned(spark, sf_dir, "sw")
 
 
 @_add(
