@@ -7,10 +7,10 @@ words in capitals, exclamation and question marks, other punctuation, words that
 with digits or symbols, digits, mean word length and log length.  All are
 taken with NumPy over whole batches; texts are read whole.
 
-Labels are learned from a bounded sample, ``FIT_ROWS`` rows at most (of each the first
-``FIT_BYTES`` bytes), drawn by a seeded hash of the id and split in three:
-lexicon, trees, calibration.  Null and empty texts have all-zero features and are
-scored like any other.  With fewer than ``MIN_CLASS`` rows of a class every
+Labels are learned from a bounded sample, ``FIT_ROWS`` rows at most, drawn by a seeded hash of the id and split in three:
+lexicon, trees, calibration.  Their texts are read whole, on executors: terms are counted there, and only
+chosen terms and one row of features a text come to the driver.  Null and empty texts have all-zero features and are
+scored like any other.  With fewer than ``MIN_CLASS`` ids of a class every
 text scores the base rate.  Rows are scored one by one; repeated rows score alike.
 """
 
@@ -28,9 +28,9 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .folds import fold, labelled_sample
+from .scratch import staged
 
 FIT_ROWS = 8000
-FIT_BYTES = 8000
 MIN_CLASS = 6
 THRESHOLD = 0.5
 FOLDS, HELD_OUT = 5, 0
@@ -157,21 +157,27 @@ class Lexicon:
         return out
 
 
-def learn_lexicon(texts: list[bytes], y: np.ndarray, least: int = 4, odds: float = 12.0) -> Lexicon:
-    """Words and word beginnings far more frequent in toxic texts, by documents that hold them."""
+def _terms(text: bytes) -> set[bytes]:
+    words = set(text.translate(_PLAIN.tobytes()).split())
+    return {b"=" + w for w in words if len(w) > 2} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
-    def terms(t: bytes) -> set[bytes]:
-        words = set(t.translate(_PLAIN.tobytes()).split())
-        return {b"=" + w for w in words if len(w) > 2} | {w[:n] for w in words for n in PREFIXES if len(w) >= n}
 
-    bad = Counter(t for text, k in zip(texts, y, strict=True) if k for t in terms(text))
-    bad = {t: n for t, n in bad.items() if n >= least}
-    good: Counter = Counter()
-    for text, k in zip(texts, y, strict=True):
-        if not k:
-            good.update(t for t in terms(text) if t in bad)
-    n_bad, n_good = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    chosen = [t for t, n in bad.items() if (n / n_bad) / ((good[t] + 0.5) / n_good) >= odds]
+def learn_lexicon(rows: DataFrame, n_bad: int, n_good: int, least: int = 4, odds: float = 12.0) -> Lexicon:
+    """Words and word beginnings far more frequent in toxic texts, by documents that hold them.  rows: (text, label)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: tuple[Counter, Counter] = (Counter(), Counter())
+        for batch in batches:
+            for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                found[y].update(_terms(text or b""))
+        terms = list(found[0].keys() | found[1].keys())
+        for low in range(0, len(terms), 100_000):
+            piece = terms[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(piece, pa.binary()), *[pa.array([found[y][t] for t in piece], pa.int64()) for y in (1, 0)]], names=["term", "bad", "good"])
+
+    counts = rows.select("text", "label").mapInArrow(count, "term binary, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    rate = (F.col("bad") / max(1, n_bad)) / ((F.col("good") + 0.5) / max(1, n_good))
+    chosen = [bytes(r[0]) for r in counts.where((F.col("bad") >= least) & (rate >= odds)).select("term").collect()]
     words = [t[1:].decode("utf-8", "replace") for t in chosen if t[:1] == b"="]
     heads = sorted((t for t in chosen if t[:1] != b"="), key=len)
     short: set[bytes] = set()
@@ -262,27 +268,42 @@ class Model:
         return np.clip(np.interp(self.trees.raw(self.lexicon.features(column)), self.knots, self.values), 0.0, 1.0)
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    y = np.array([k for _, k in rows], dtype=float)
-    base = float((y.sum() + 0.5) / (len(y) + 1))
-    if min(y.sum(), len(y) - y.sum()) < MIN_CLASS:
-        return Model(None, None, np.zeros(1), np.zeros(1), base)
-    part = np.zeros(len(rows), int)
-    for k in (0, 1):  # each class is dealt 2 : 2 : 1
-        part[y == k] = np.array([0, 1, 0, 1, 2])[np.arange(int((y == k).sum())) % 5]
-    pick = lambda p: [rows[i][0] for i in np.flatnonzero(part == p)]
-    lexicon = learn_lexicon(pick(0), y[part == 0])
-    features = lambda texts: lexicon.features(pa.array(texts, pa.large_binary()))
-    trees = Trees().fit(features(pick(1)), y[part == 1])
-    knots, values = isotonic(trees.raw(features(pick(2))), y[part == 2])
-    return Model(lexicon, trees, knots, values, base)
+def _features(rows: DataFrame, lexicon: Lexicon) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Features and labels of parts 1 and 2, in the same order in any run.  rows: (doc_id, text, label, part)."""
+    shared = rows.sparkSession.sparkContext.broadcast(lexicon)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = shared.value.features(batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(list(x), pa.list_(pa.float64()))], names=["doc_id", "label", "part", "x"])
+
+    found = rows.where("part > 0").select("doc_id", "text", "label", "part").mapInArrow(run, "doc_id long, label int, part int, x array<double>").collect()
+    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[3]))
+    return {p: (np.array([r[3] for r in found if r[2] == p]).reshape(-1, len(NAMES)), np.array([r[1] for r in found if r[2] == p], dtype=float)) for p in (1, 2)}
 
 
 def toxicity_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
     rows = labelled_sample(docs, labels, "toxic", (FOLDS, HELD_OUT), fit_rows)
-    found = rows.select("doc_id", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
-    found.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))  # the same order in any run
-    return fit([(bytes(t) if t is not None else b"", y) for _, t, y in found])
+    rows = staged(rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"), "label"), "toxicity-rows")
+    found = [(r[0], r[1]) for r in rows.select("doc_id", "label").collect()]
+    found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))  # the same order in any run
+    y = np.array([k for _, k in found], dtype=float)
+    base = float((y.sum() + 0.5) / (len(y) + 1))
+    if min(len({doc_id for doc_id, k in found if k == c}) for c in (0, 1)) < MIN_CLASS:
+        return Model(None, None, np.zeros(1), np.zeros(1), base)
+    parts, dealt = {}, [0, 0]
+    for doc_id, k in found:  # each class is dealt 2 : 2 : 1, repeated rows of an id alike
+        if doc_id not in parts:
+            parts[doc_id] = (0, 1, 0, 1, 2)[dealt[k] % 5]
+            dealt[k] += 1
+    dealt_rows = docs.sparkSession.createDataFrame(list(parts.items()), "doc_id long, part int")
+    rows = rows.join(F.broadcast(dealt_rows), "doc_id")
+    first = [k for doc_id, k in found if parts[doc_id] == 0]
+    lexicon = learn_lexicon(rows.where("part = 0"), sum(first), len(first) - sum(first))
+    x = _features(rows, lexicon)
+    trees = Trees().fit(*x[1])
+    knots, values = isotonic(trees.raw(x[2][0]), x[2][1])
+    return Model(lexicon, trees, knots, values, base)
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

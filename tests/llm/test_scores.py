@@ -63,6 +63,21 @@ def test_labels_of_the_held_out_fold_do_not_count(corpus):
     assert a == b
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(6)
+    rows, marks = [], []
+    for i in range(200):
+        bad = i % 2
+        rows.append((i, " ".join(rng.choice(PLAIN) for _ in range(2500)) + (" zzgrumbel" * 200 if bad else "")))
+        marks.append((i, bad))
+    assert min(len(t) for _, t in rows) > 9000
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.toxicity_model(docs, spark.createDataFrame(marks, "doc_id long, toxic int"))
+    assert len(model.lexicon.learned) and model.lexicon.features(pa.array([b"zzgrumbel"], pa.large_binary()))[0, 1] == 1
+    held = [r for r in toxicity.scored(docs, model).collect() if r.held_out]
+    assert held and all(r.predicted == r.doc_id % 2 for r in held)
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     z = rng.normal(size=300)
