@@ -8,13 +8,20 @@ an item cut at 13 words, or a whole item of fewer, is then searched by bisection
 its interval of the array holds all its places in the shard.  Windows found at
 consecutive places of document and item join to the longest verbatim matches.
 
-The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, each broadcast; with
-more than one block, the documents are passed over once a block and the places found are
-united by row, so that no size of the benchmark asks for more memory.
+The benchmark is read in blocks of at most ``BLOCK_BYTES`` of text, made one at a time from rows
+that a hash deals to them.  With more than one block, a filter first: one pass over all documents looks up the
+hash of each window in a bit table of all benchmark windows (``FILTER_BITS`` at most), and only
+documents with a hit, which are written, are searched, once a block.  Driver and workers hold one block at a
+time, so that no size of the benchmark asks for more memory.
+
+The stage of the pipeline removes each document with 13 consecutive words of an item, however long its
+text, and what the report calls ``contaminated``: hits on a share of the words.  So an item of fewer words, which may
+be a common phrase, removes only documents of which it is such a share.
 
 Null texts have no words.  Items without words or with a null id match nothing.
 Rows of an item id that repeats are one item.  An empty benchmark leaves all
-documents clean.  Repeated document rows are judged row by row.
+documents clean.  Repeated document rows are judged row by row.  Very long texts are
+read whole.  Rows travel packed in one column, so their columns may have any names.
 """
 
 from __future__ import annotations
@@ -33,7 +40,9 @@ from .scratch import staged
 
 WINDOW = 13
 PERCENT = 5
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+FILTER_BITS = 1 << 28  # 32 MB
+_PAGE = 1 << 16
 _TABLE = tx.byte_table(lower=True, alnum=True)
 
 
@@ -192,29 +201,101 @@ def shard(b: Block, column: pa.Array) -> list[Found]:
     return out
 
 
-def _blocks(items: DataFrame, text: str) -> Iterator[Block]:
-    """Benchmark blocks, one at a time on the driver."""
-    sized = items.select(F.col("item_id").cast("string").alias("k"), F.col(text).cast("binary").alias("t"))
-    total = sized.agg(F.sum(F.length("t") + 16)).first()[0] or 0
-    n = max(1, -(-int(total) // BLOCK_BYTES))
+def _sized(items: DataFrame, text: str) -> tuple[DataFrame, int, int]:
+    """(item rows, their bytes, blocks of them)."""
+    sized = items.select(F.col("item_id").cast("string").alias("k"), F.col(text).cast("binary").alias("t")).where("k IS NOT NULL")
+    total = int(sized.agg(F.sum(F.length("t") + 16)).first()[0] or 0)
+    return sized, total, max(1, -(-total // BLOCK_BYTES))
+
+
+def _blocks(sized: DataFrame, n: int) -> Iterator[Block]:
+    """Benchmark blocks, one at a time on the driver; rows of an item share a block."""
     for i in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("k"), F.lit(n)) == i)
-        yield block([(k, bytes(t) if t is not None else b"") for k, t in part.collect()])
+        yield block([(k, bytes(t) if t is not None else b"") for k, t in part.toLocalIterator()])
+
+
+def _places(hashes: np.ndarray, size: int, bits: int) -> np.ndarray:
+    """Places in the bit table of each window of ``size`` words."""
+    return (tx.windows(hashes, size) % np.uint64(bits)).astype(np.int64)
+
+
+def _filter(sized: DataFrame, total: int) -> tuple[np.ndarray, list[int]]:
+    """A bit for the hash of each benchmark window, and the lengths of windows that occur."""
+    bits = min(FILTER_BITS, 1 << max(16, (4 * total).bit_length()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in tx.tokenise(batch.column(0), _TABLE):
+                found, sizes = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                    if b > a:
+                        found.append(_places(w.hash[a:b], min(WINDOW, b - a), bits))
+                        sizes.append(np.full(len(found[-1]), min(WINDOW, b - a)))
+                place, size = np.concatenate(found), np.concatenate(sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(size.astype(np.int32))], names=["place", "size"])
+
+    windows = staged(sized.select("t").mapInArrow(run, "place long, size int"), "decontam-windows")
+    sizes = sorted(r[0] for r in windows.select("size").distinct().collect())  # WINDOW at most
+
+    def page(group: pa.Table) -> pa.Table:
+        own = np.zeros(_PAGE, bool)
+        own[group.column("place").to_numpy() % _PAGE] = True
+        return pa.table({"page": pa.array([group.column("place")[0].as_py() // _PAGE], pa.int64()), "bits": pa.array([np.packbits(own, bitorder="little").tobytes()], pa.binary())})
+
+    # Pages of the table come back, not windows: its size bounds them.
+    pages = windows.select("place").distinct().groupBy(F.floor(F.col("place") / _PAGE).alias("g")).applyInArrow(page, "page long, bits binary")
+    table = np.zeros(bits // 8, np.uint8)
+    for number, part in pages.toLocalIterator():
+        table[number * _PAGE // 8 :][: _PAGE // 8] = np.frombuffer(bytes(part), np.uint8)
+    return table, sizes
+
+
+def _suspects(packed: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFrame:
+    """``packed`` with n_words and suspect: whether any window of the text has its bit set."""
+    shared = packed.sparkSession.sparkContext.broadcast(table)
+    at = packed.columns.index("body")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            n_words, suspect = [], []
+            for w in tx.tokenise(batch.column(at), _TABLE):
+                hit = np.zeros(len(w.hash) + 1, bool)
+                row_end = np.repeat(w.first[1:], np.diff(w.first))
+                for size in sizes:
+                    place = _places(w.hash, size, 8 * len(bits))
+                    inside = np.arange(len(place)) + size <= row_end[: len(place)]
+                    hit[: len(place)] |= inside & ((bits[place >> 3] >> (place & 7).astype(np.uint8)) & 1 == 1)
+                upto = np.concatenate([[0], np.cumsum(hit[:-1])])
+                n_words.append(np.diff(w.first))
+                suspect.append(upto[w.first[1:]] > upto[w.first[:-1]])
+            columns = [pa.array(np.concatenate([*n_words, np.zeros(0, np.int64)]).astype(np.int64)), pa.array(np.concatenate([*suspect, np.zeros(0, bool)]))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=[*batch.schema.names, "n_words", "suspect"])
+
+    schema = T.StructType([*packed.schema, T.StructField("n_words", T.LongType()), T.StructField("suspect", T.BooleanType())])
+    return packed.mapInArrow(run, schema)
+
+
+_SPAN = "array<struct<first:bigint,stop:bigint>>"
 
 
 def found(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str = "text") -> DataFrame:
     """``docs`` packed in ``row``, and n_words, spans (first, stop), items, longest for each row."""
-    blocks = list(_blocks(items, item_text)) if items is not None else []
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(text).cast("binary").alias("body"))
-    if len(blocks) > 1:
-        packed = staged(packed.withColumn("uid", F.monotonically_increasing_id()), "decontam-rows")
-        parts = [_pass(packed.select("uid", "body"), b) for b in blocks]
-        whole = parts[0]
-        for part in parts[1:]:
-            whole = whole.unionByName(part)
-        merged = whole.groupBy("uid").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
-        return packed.drop("body").join(merged, "uid").drop("uid")
-    return _pass(packed, blocks[0])
+    sized, total, n = _sized(items, item_text)
+    if n == 1:
+        return _pass(packed, next(_blocks(sized, 1)))
+    packed = staged(_suspects(packed, *_filter(sized, total)).withColumn("uid", F.monotonically_increasing_id()), "decontam-rows")
+    suspects = packed.where("suspect").select("uid", "body")
+    whole = None
+    for b in _blocks(sized, n):
+        part = staged(_pass(suspects, b).where(F.size("items") > 0).drop("n_words"), "decontam-found")
+        whole = part if whole is None else whole.unionByName(part)
+    merged = whole.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    return packed.drop("body", "suspect").join(merged, "uid", "left").select(
+        "row", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest")
+    )
 
 
 def _pass(packed: DataFrame, b: Block) -> DataFrame:
@@ -252,13 +333,11 @@ def judged(df: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row a document: counts, digest of the items found, verdict, longest verbatim match in words."""
+    """One row a document: counts, digest of the items found, verdict, longest verbatim match in words, and the places of hit words."""
     df = judged(found(docs.select("doc_id", "text"), items))
     return df.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, all columns."""
-    return judged(found(docs, items)).where("NOT contaminated").select("row.*")
-
-
+    """The rows of ``docs`` that are not contaminated and have no ``WINDOW`` consecutive words of an item, all columns."""
+    return judged(found(docs, items)).where(~F.col("contaminated") & (F.col("longest") < WINDOW)).select("row.*")

@@ -1,6 +1,7 @@
 """Quality rules, mixing, decontamination."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -120,7 +121,30 @@ def test_decontamination(spark, odd_docs, no_docs):
         assert sorted((tuple(r)[:6] for r in decontam.report(d, b).collect()), key=repr) == brute(docs, items)
     finally:
         decontam.BLOCK_BYTES = limit
+    stay = {r.doc_id for r in decontam.decontaminated(d, b).collect()}
+    assert not stay & {20, 22, 23, 26} and {21, 24, 25} <= stay
     assert decontam.report(odd_docs, b.limit(0)).where("contaminated").count() == 0
     assert decontam.report(no_docs, b).count() == 0
     kept = decontam.decontaminated(odd_docs, b)
     assert kept.columns == odd_docs.columns and 3 in {r.doc_id for r in kept.collect()}
+
+
+def test_decontamination_of_long_texts_and_many_blocks(spark, monkeypatch):
+    """A passage of 13 words in a text of 2000 goes; blocks are made one at a time and give what one block gives."""
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(3000)]
+    items = [(i, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([4, 13, 20, 40])))) for i in range(120)] + [(200, "v1")]
+    long = [rng.choice(vocabulary) for _ in range(2000)]
+    thirteen = next(t for _, t in items if len(t.split()) == 20).split()[3:16]
+    docs = [(0, " ".join(long[:900] + thirteen + long[900:])), (1, " ".join(long + ["v1"]))] + [(i, " ".join([rng.choice(vocabulary) for _ in range(60)] + items[i][1].split()[: rng.randrange(1, 41)])) for i in range(2, 60)]
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    b = spark.createDataFrame(items, "item_id long, text string")
+    one = sorted((tuple(r) for r in decontam.report(d, b).collect()), key=repr)
+    assert [r[:6] for r in one] == brute(docs, items)
+    stay = {r.doc_id for r in decontam.decontaminated(d, b).collect()}
+    assert 0 not in stay and 1 in stay
+    built, make = [], decontam.block
+    monkeypatch.setattr(decontam, "BLOCK_BYTES", 600)
+    monkeypatch.setattr(decontam, "block", lambda rows: built.append(sum(len(t) for _, t in rows)) or make(rows))
+    assert sorted((tuple(r) for r in decontam.report(d, b).collect()), key=repr) == one
+    assert len(built) >= 20 and max(built) < 3000
