@@ -14,16 +14,22 @@ one point a shingle.
 
 *Bands.*  25 bands of 5 slots: a pair at 0.8 is missed with odds of 5e-5.
 
-*Verification.*  Equal texts collapse first.  In each bucket the document in the middle, the one that shares
+*Verification.*  Equal texts collapse first.  In each bucket the text in the middle, the one that shares
 most buckets with most others, leads, and all others are verified against it, on the words
-themselves; so a bucket of n near copies takes n pairs, not n squared.  After ``ROUNDS`` leaders, buckets
-that still hold several classes are compared row by row in blocks, without emitting pairs that
-are ruled out: by their sizes and the shingles that no other text has (an upper bound of the
-similarity), or by their slots.  What is left is verified on the words, so that no link between
-different texts of a bucket is lost.
-
-Texts without words (null, empty, blank) are classes of their own.  Rows that share an
-id are one node.  A row with a null id gets a null class.
+themselves; so a bucket of n near copies takes n pairs, not n squared.  Texts of buckets that still
+hold several classes are compared in blocks: a block gets the shingles of its rows, computes their weighted
+Jaccard similarities exactly, and returns a spanning forest of the links, one link less than it has rows at
+most.  Those links are verified on the words too.  So no pair of a bucket is ruled out by an estimate, and
+what is written grows with the rows.  The comparing itself is quadratic in the texts of a bucket that are not
+alike enough to be joined by their leader; it is done as matrix products within blocks.
+
+A unit of comparison is a bucket or, where that sends fewer rows, all buckets that hang together.
+
+The nodes are texts, not ids: rows with equal texts are one node, and different texts under one id
+are judged each by itself.  Texts without words (null, empty, blank) are classes of their own.  A
+row with a null id gets a null class and joins nothing.  Very long texts are read whole; a block holds at most
+``BLOCK_CODES`` shingles, or two texts.  An empty table gives no rows.  Other columns are not read, so their
+names can't clash.
 """
 
 from __future__ import annotations
@@ -33,8 +39,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -45,9 +51,9 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5
 ROUNDS = 1
-BLOCK = 4096  # rows of a bucket compared at a time
-#: Pairs whose slots agree in a smaller share are not read: at similarity 0.8 the odds of that are 1e-6.
-LEAST_ESTIMATE = 0.62
+BLOCK = 1024  # rows of a unit compared at a time, with as many others
+BLOCK_CODES = 2_000_000  # shingles in a block
+SALT = 512  # pairs of a leader that are verified together
 #: Ids that are broadcast at most (16 bytes each); beyond, the join shuffles.
 BROADCAST_IDS = 400_000
 _TABLE = tx.byte_table()
@@ -99,34 +105,26 @@ def bands(times: np.ndarray, n: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, digest, bands, slots, size); texts without words have none of them.
+def _digest(column: Column) -> Column:
+    return F.unhex(F.sha2(column, 256))
 
-    slots has one byte of each signature slot: enough to estimate a similarity.
-    """
+
+def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
+    """(doc_id, digest, bands); texts without words have neither digest nor bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            offsets, data = tx.binary_parts(batch.column(1))
             for w in tx.tokenise(batch.column(1), _TABLE):
-                digests, codes, slots, sizes = [], [], [], []
+                codes = []
                 for i in range(len(w.first) - 1):
                     words = w.hash[w.first[i] : w.first[i + 1]]
-                    if not len(words):
-                        for x in (digests, codes, slots, sizes):
-                            x.append(None)
-                        continue
-                    row = w.row + i
-                    digests.append(xxhash.xxh3_128_digest(data[offsets[row] : offsets[row + 1]]))
-                    shingles = tx.windows(words, min(SHINGLE, len(words)))
-                    times = signature(shingles)
-                    codes.append(bands(times))
-                    slots.append((tx.mix(times.view(_U)) & _U(255)).astype(np.uint8).tobytes())
-                    sizes.append(len(shingles))
-                columns = [pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64())), pa.array(slots, pa.binary()), pa.array(sizes, pa.int64())]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, len(digests)), *columns], names=["doc_id", "digest", "bands", "slots", "size"])
-
-    return docs.select("doc_id", F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, digest binary, bands array<long>, slots binary, size long")
+                    codes.append(bands(signature(tx.windows(words, min(SHINGLE, len(words))))) if len(words) else None)
+                n = len(codes)
+                digests = pc.if_else(pa.array([c is not None for c in codes], pa.bool_()), batch.column(2).slice(w.row, n), None)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, n), digests, pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+
+    body = docs.select("doc_id", F.col(text).cast("binary").alias("text"))
+    return body.withColumn("digest", _digest(F.col("text"))).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
 
 
 def multiset(text: bytes) -> Counter:
@@ -148,7 +146,7 @@ def _few(ids: DataFrame) -> bool:
     return ids.count() <= BROADCAST_IDS
 
 
-def _members(sig: DataFrame, reps: DataFrame) -> DataFrame:
+def _members(reps: DataFrame) -> DataFrame:
     """(bucket, id) of buckets with two documents or more."""
     rows = reps.select(F.explode("bands").alias("bucket"), F.col("id"))
     several = rows.groupBy("bucket").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least < most").select("bucket")
@@ -156,17 +154,20 @@ def _members(sig: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """The pairs (a, b) whose texts are similar enough.  texts: (id, body)."""
-    left = texts.select(F.col("id").alias("a"), F.col("body").alias("body_a"))
+    """The pairs (a, b) whose texts are similar enough.  texts: (id, body).  A hot a is dealt to several tasks."""
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SALT).alias("salts"))
+    left = texts.select(F.col("id").alias("a"), F.col("body").alias("body_a")).join(salts, "a")
+    left = left.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), "body_a")
     right = texts.select(F.col("id").alias("b"), F.col("body").alias("body_b"))
-    both = pairs.join(right, "b").join(left, "a").select("a", "b", "body_a", "body_b")
+    salted = pairs.join(salts, "a").select("a", "b", F.pmod(F.xxhash64("b", F.lit(3)), F.col("salts")).alias("salt"))
+    both = salted.join(right, "b").join(left, ["a", "salt"]).select("a", "b", "body_a", "body_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, known = None, Counter()
         for batch in batches:
             keep = []
             for a, x, y in zip(batch.column(0).to_pylist(), batch.column(2), batch.column(3), strict=True):
-                if a != last:  # rows come sorted by a, the leader
+                if a != last:  # a join by sorting brings the rows of a leader together
                     last, known = a, multiset(x.as_py())
                 keep.append(similarity(known, multiset(y.as_py())) >= threshold)
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], names=["a", "b"])
@@ -174,86 +175,160 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = SIMILARITY)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _unshared(texts: DataFrame) -> DataFrame:
-    """(id, alone): how many of a text's shingles, repeats counted, stand in no other of the texts."""
+def occurrences(shingles: np.ndarray) -> np.ndarray:
+    """A code for each element of a multiset: the second, third ... occurrence of a shingle have codes of their own.
+
+    So two multisets have as many codes in common as elements.
+    """
+    x = np.sort(shingles)
+    if len(x) < 2:
+        return x
+    new = np.concatenate([[True], x[1:] != x[:-1]])
+    place = np.arange(len(x)) - np.maximum.accumulate(np.where(new, np.arange(len(x)), 0))
+    return np.where(place > 0, tx.mix(x + place.astype(_U) * _U(0xD1342543DE82EF95)), x)
+
+
+def _codes(texts: DataFrame) -> DataFrame:
+    """(id, size, codes) of each text: its shingles as :func:`occurrences`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in tx.tokenise(batch.column(1), _TABLE):
-                ids, codes, counts = [], [], []
-                for i, key in enumerate(batch.column(0).slice(w.row, len(w.first) - 1).to_pylist()):
+                n = len(w.first) - 1
+                found = []
+                for i in range(n):
                     words = w.hash[w.first[i] : w.first[i + 1]]
-                    if len(words):
-                        x, n = np.unique(tx.windows(words, min(SHINGLE, len(words))), return_counts=True)
-                        ids.append(np.full(len(x), key, np.int64))
-                        codes.append(x.view(np.int64))
-                        counts.append(n)
-                if ids:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(codes)), pa.array(np.concatenate(counts).astype(np.int64))], names=["id", "shingle", "n"])
-
-    rows = texts.select("id", "body").mapInArrow(run, "id long, shingle long, n long")
-    single = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("id"), F.min("n").alias("n")).where("texts = 1")
-    return single.groupBy("id").agg(F.sum("n").alias("alone"))
-
-
-def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's block that may be similar enough.  Rows come sorted by group.
-
-    With sizes n and unshared shingles u, two texts have at most o = min(n - u, m - v) shingles in
-    common, so their similarity is at most o / (n + m - o); and their slots agree near their similarity.
-    """
+                    found.append(occurrences(tx.windows(words, min(SHINGLE, len(words)))))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, n), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], names=["id", "size", "codes"])
+
+    return texts.select("id", "body").mapInArrow(run, "id long, size long, codes binary")
+
+
+def overlaps(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many codes each row of ``left`` has in common with each of ``right`` (places in rows)."""
+    n = len(rows)
+    owner = np.repeat(np.arange(n), [len(x) for x in rows])
+    code = np.concatenate(rows)
+    order = np.argsort(code, kind="stable")
+    code, owner = code[order], owner[order]
+    first = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+    many = np.diff(np.concatenate([first, [len(code)]]))
+    first, many = first[many > 1], many[many > 1]
+    out = np.zeros((len(left), len(right)))
+    if not len(first):
+        return out
+    # Codes that stand in the same rows count together.
+    inside = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
+    owner = owner[inside]
+    bounds = np.concatenate([[0], np.cumsum(many)])
+    marks = tx.mix(np.arange(1, n + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    _, pick, weight = np.unique(np.add.reduceat(marks[owner], bounds[:-1]), return_index=True, return_counts=True)
+    many = many[pick]
+    place_l, place_r = np.full(n, -1), np.full(n, -1)
+    place_l[left], place_r[right] = np.arange(len(left)), np.arange(len(right))
+    dense = np.flatnonzero(many > max(8, n // 8))
+    for low in range(0, len(dense), 1024):
+        part = dense[low : low + 1024]
+        x = np.zeros((n, len(part)), np.float32)
+        for k, c in enumerate(part):
+            x[owner[bounds[pick[c]] : bounds[pick[c]] + many[c]], k] = 1
+        out += (x[left] * weight[part].astype(np.float32)) @ x[right].T
+    thin = np.flatnonzero(many <= max(8, n // 8))
+    for m in np.unique(many[thin]):
+        these = thin[many[thin] == m]
+        step = max(1, (1 << 22) // int(m * m))
+        for low in range(0, len(these), step):
+            part = these[low : low + step]
+            who = owner[bounds[pick[part]][:, None] + np.arange(m)]
+            one, two = np.repeat(who, m, axis=1).ravel(), np.tile(who, (1, m)).ravel()
+            ok = (place_l[one] >= 0) & (place_r[two] >= 0)
+            at = place_l[one[ok]] * len(right) + place_r[two[ok]]
+            out += np.bincount(at, weights=np.repeat(weight[part].astype(float), m * m)[ok], minlength=out.size).reshape(out.shape)
+    return out
+
+
+def forest(linked: np.ndarray, left: np.ndarray, right: np.ndarray, label: np.ndarray) -> list[tuple[int, int]]:
+    """Links, as places (i, j), that join what ``linked`` (left x right) joins; rows of one label are joined already."""
+    root = np.unique(label, return_inverse=True)[1]
+    out = []
+    for k in np.flatnonzero(linked.any(axis=1)):
+        i = left[k]
+        js = right[linked[k]]
+        roots, first = np.unique(root[js], return_index=True)
+        for r, j in zip(roots.tolist(), js[first].tolist(), strict=True):
+            if r != root[i]:
+                out.append((int(i), j))
+                root[root == r] = root[i]
+    return out
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Spanning links of each pair of blocks.  Rows come sorted by unit, x and y; side 2 is a block with itself."""
     held: list[pa.RecordBatch] = []
 
-    def settle(rows: pa.Table) -> pa.RecordBatch:
-        ids, label = rows.column("id").to_numpy(), rows.column("label").to_numpy()
-        size, alone = rows.column("size").to_numpy().astype(float), rows.column("alone").to_numpy().astype(float)
-        side = rows.column("side").to_numpy()
-        slots = np.frombuffer(b"".join(rows.column("slots").to_pylist()), np.uint8).reshape(len(ids), -1)
-        one, two = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2: a block with itself
-        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for i in one:
-            js = two[label[two] > label[i]] if (side[i] == 2) else two[label[two] != label[i]]
-            common = np.minimum(size[i] - alone[i], size[js] - alone[js])
-            js = js[common >= (SIMILARITY - 1e-9) * (size[i] + size[js] - common)]
-            js = js[(slots[js] == slots[i]).mean(axis=1) >= LEAST_ESTIMATE]
-            left.append(np.full(len(js), ids[i]))
-            right.append(ids[js])
-        a, b = np.concatenate(left), np.concatenate(right)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
+    def settle() -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        ids, label, side = (rows.column(c).to_numpy() for c in ("id", "label", "side"))
+        codes = [np.frombuffer(x, _U) for x in rows.column("codes").to_pylist()]
+        size = np.array([len(x) for x in codes], float)
+        left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+        pairs: list[tuple[int, int]] = []
+        if len(left) and len(right) and (label != label[0]).any():
+            common = overlaps(codes, left, right)
+            linked = common >= (SIMILARITY - 1e-9) * (size[left][:, None] + size[right] - common)
+            linked &= label[left][:, None] != label[right]
+            pairs = forest(linked, left, right, label)
+        a, b = ids[[i for i, _ in pairs]], ids[[j for _, j in pairs]]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64())], names=["a", "b"])
+
+    last = None
     for batch in batches:
-        keys = list(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2)], strict=True))
+        keys = list(zip(*[batch.column(c).to_pylist() for c in ("whole", "unit", "x", "y")], strict=True))
         cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and tuple(held[-1].column(c)[0].as_py() for c in (0, 1, 2)) != keys[low]:
-                yield settle(pa.Table.from_batches(held))
-                held = []
+            if high == low:
+                continue
+            if held and last != keys[low]:
+                yield settle()
+                held.clear()
+            last = keys[low]
             held.append(batch.slice(low, high - low))
     if held:
-        yield settle(pa.Table.from_batches(held))
+        yield settle()
 
 
-def _rest(state: DataFrame, several: DataFrame, texts: DataFrame, facts: DataFrame) -> DataFrame:
-    """(a, b): the pairs of different classes in a bucket that are not ruled out.
+def _rest(state: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b): links that join what is similar enough in any bucket.  state: (bucket, id, label).
 
-    A bucket of n rows is cut in blocks of BLOCK rows, and each pair of blocks is one group.
+    Units are buckets, or the components of buckets that share rows where that sends fewer rows; a unit is cut
+    in blocks, and each pair of blocks is one group.
     """
     state = staged(state, "minhash-rest")
-    ids = state.select("id").distinct()
-    alone = _unshared(texts.join(ids, "id", "left_semi"))
-    facts = facts.join(ids, "id", "left_semi").join(alone, "id", "left").select("id", "slots", "size", F.coalesce("alone", F.lit(0)).alias("alone"))
-    rows = state.join(several.select("bucket", "rows"), "bucket").join(facts, "id")
-    n = F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK)).cast("int")
-    mine = F.pmod(F.xxhash64("id", F.lit(5)), n).cast("int")
-    others = F.sequence(F.lit(0), n - 1)
-    groups = F.explode(F.transform(others, lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), F.when(o == mine, 2).when(mine < o, 0).otherwise(1).alias("side"))))
-    rows = rows.select("bucket", groups.alias("g"), "id", "label", "slots", "size", "alone").select("bucket", "g.x", "g.y", "g.side", "id", "label", "slots", "size", "alone")
-    rows = rows.repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y")
-    return rows.mapInArrow(_open_pairs, "a long, b long").distinct()
-
-
-def links(members: DataFrame, texts: DataFrame, facts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
-    """(id, label) of all documents with a verified link.  facts: (id, slots, size)."""
+    least = state.groupBy("bucket").agg(F.min("id").alias("least"))
+    part = components(state.join(least, "bucket").select(F.col("id").alias("a"), F.col("least").alias("b"))).select("id", F.col("label").alias("part"))
+    codes = staged(_codes(texts.join(state.select("id").distinct(), "id", "left_semi")), "minhash-codes")
+    rows = staged(state.join(part, "id").join(codes.select("id", "size"), "id"), "minhash-units")
+
+    def blocks(table: DataFrame, key: str) -> DataFrame:
+        n = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("size") / BLOCK_CODES), F.lit(1)).cast("int")
+        return table.groupBy(key).agg(n.alias("n"), F.count(F.lit(1)).alias("rows"))
+
+    by_bucket = blocks(rows, "bucket")
+    singles = rows.select("part", "id", "label", "size").distinct()
+    by_part = blocks(singles, "part")
+    cost = rows.select("bucket", "part").distinct().join(by_bucket, "bucket").groupBy("part").agg(F.sum(F.col("rows") * F.col("n")).alias("cost"))
+    whole = staged(by_part.join(cost, "part").select("part", "n", (F.col("rows") * F.col("n") <= F.col("cost")).alias("whole")), "minhash-parts")
+    one = singles.join(whole.where("whole").select("part", "n"), "part").select(F.lit(True).alias("whole"), F.col("part").alias("unit"), "n", "id", "label")
+    two = rows.join(whole.where("NOT whole").select("part"), "part", "left_semi").join(by_bucket.select("bucket", "n"), "bucket").select(F.lit(False).alias("whole"), F.col("bucket").alias("unit"), "n", "id", "label")
+    mine = F.pmod(F.xxhash64("id", F.lit(5)), F.col("n")).cast("int")
+    group = F.explode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda o: F.struct(F.least(o, mine).alias("x"), F.greatest(o, mine).alias("y"), F.when(o == mine, 2).when(mine < o, 0).otherwise(1).alias("side"))))
+    dealt = one.unionByName(two).select("whole", "unit", group.alias("g"), "id", "label").select("whole", "unit", "g.x", "g.y", "g.side", "id", "label")
+    dealt = dealt.join(codes.select("id", "codes"), "id").repartition("whole", "unit", "x", "y").sortWithinPartitions("whole", "unit", "x", "y")
+    return dealt.mapInArrow(_compared, "a long, b long").distinct()
+
+
+def links(members: DataFrame, texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
+    """(id, label) of all texts with a verified link.  members: (bucket, id); texts: (id, body)."""
     sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
     # Texts that share many buckets with many others stand in the middle of their group.
     middle = members.join(sizes, "bucket").groupBy("id").agg(F.sum("rows").alias("middle"))
@@ -263,33 +338,52 @@ def links(members: DataFrame, texts: DataFrame, facts: DataFrame, threshold: flo
         first = F.max(F.struct("middle", F.xxhash64("id").alias("h"), "id", "label"))
         lead = state.groupBy("bucket").agg(first.alias("lead")).select("bucket", F.col("lead.id").alias("leader"), F.col("lead.label").alias("head"))
         led = staged(state.join(lead, "bucket"), "minhash-led")
-        pairs = led.where("label <> head").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
+        pairs = staged(led.where("label <> head").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct(), "minhash-pairs")
         found = staged(verified(pairs, texts, threshold), "minhash-edges")
         edges = found if edges is None else edges.unionByName(found)
         label = components(edges)
         state = led.where("id <> leader").drop("label", "leader", "head").join(label, "id", "left").select("bucket", "id", "middle", F.coalesce("label", "id").alias("label"))
-        several = state.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("rows")).where("x < y")
+        several = state.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y")
         state = staged(state.join(several.select("bucket"), "bucket", "left_semi"), "minhash-state")
         if not state.limit(1).count():
             return label
-    several = state.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
-    rest = _rest(state.select("bucket", "id", "label"), several, texts, facts)
+    rest = staged(_rest(state.select("bucket", "id", "label"), texts), "minhash-links")
     return components(edges.unionByName(staged(verified(rest, texts, threshold), "minhash-edges")))
 
 
 def classes(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, class_id, digest), one row a document: the class is its smallest id."""
+    """(doc_id, class_id, digest), one row a row of ``docs``: the class is the smallest id of its texts.
+
+    Where different texts stand under one id, the classes of both may have that id.
+    """
+    return _labelled(docs, text).drop("head")
+
+
+def _labelled(docs: DataFrame, text: str) -> DataFrame:
+    """``classes`` and, where ids repeat, the digest of the text that a class is named by."""
     sig = staged(signatures(docs, text), "minhash-signatures")
-    same = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "slots", "size")).alias("r"))
-    reps = staged(same.select("digest", F.col("r.doc_id").alias("id"), "r.bands", "r.slots", "r.size"), "minhash-reps")
-    members = _members(sig, reps)
-    ids = staged(members.select("id").distinct(), "minhash-ids")
-    wanted = F.broadcast(ids) if _few(ids) else ids
-    body = docs.select(F.col("doc_id").alias("id"), F.col(text).cast("binary").alias("body")).join(wanted, "id", "left_semi")
-    texts = staged(body.where("body IS NOT NULL").dropDuplicates(["id"]) if _repeats(sig) else body, "minhash-texts")
-    label = links(members, texts, reps.select("id", "slots", "size"))
-    named = reps.select("digest", "id").join(label, "id", "left").select("digest", F.coalesce("label", "id").alias("class_id"))
-    return sig.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
+    repeats = _repeats(sig)
+    same = sig.where("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min(F.struct("doc_id", "bands")).alias("r"))
+    # An id is its text's node, unless ids repeat.
+    node = F.monotonically_increasing_id() if repeats else F.col("r.doc_id").cast("long")
+    reps = staged(same.select("digest", F.col("r.doc_id").alias("doc_id"), "r.bands", node.alias("id")), "minhash-reps")
+    members = _members(reps)
+    ids = members.select("id").distinct()
+    wanted = staged(reps.join(ids, "id", "left_semi").select("id", "doc_id", "digest"), "minhash-ids")
+    few = F.broadcast(wanted) if _few(wanted) else wanted
+    body = docs.select("doc_id", F.col(text).cast("binary").alias("body")).where("body IS NOT NULL")
+    if repeats:
+        texts = body.withColumn("digest", _digest(F.col("body"))).join(few, ["doc_id", "digest"]).select("id", "body").dropDuplicates(["id"])
+    else:
+        texts = body.join(few.select("doc_id", "id"), "doc_id").select("id", "body")
+    label = links(members, staged(texts, "minhash-texts"))
+    named = reps.select("digest", "id", "doc_id").join(label, "id", "left").select("digest", "doc_id", F.coalesce("label", "id").alias("label"))
+    if repeats:  # nodes are no ids
+        least = named.groupBy("label").agg(F.min(F.struct("doc_id", "digest")).alias("least"))
+        named = named.join(least, "label").select("digest", F.col("least.doc_id").alias("class_id"), F.col("least.digest").alias("head"))
+    else:
+        named = named.select("digest", F.col("label").alias("class_id"), F.lit(None).cast("binary").alias("head"))
+    return sig.select("doc_id", "digest").join(named, "digest", "left").select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "digest", "head")
 
 
 def _repeats(sig: DataFrame) -> bool:
@@ -298,16 +392,17 @@ def _repeats(sig: DataFrame) -> bool:
 
 
 def deduplicated(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with one row of each class, the one with the smallest id; rows with a null id all stay.
+    """``docs`` with one row of each class: that with the smallest id, and of texts under that id the smallest digest.
 
-    Rows that share the id and class kept are reduced to one.
+    Equal rows of that id and text are reduced to one.  Rows with a null id or without words all stay.
     """
-    label = staged(classes(docs, text), "minhash-classes")
-    gone = label.where("class_id < doc_id").select("doc_id").distinct()
-    if _few(gone):
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    if _repeats(label.where("class_id = doc_id")):
-        numbered = kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
-        kept = numbered.unionByName(kept.where("doc_id IS NULL"))
-    return kept
+    label = staged(_labelled(docs, text), "minhash-classes")
+    if not _repeats(label):
+        gone = label.where("class_id < doc_id").select("doc_id")
+        return docs.join(F.broadcast(gone) if _few(gone) else gone, "doc_id", "left_anti").select(*docs.columns)
+    first = label.where("class_id = doc_id AND digest = head").select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest")).distinct()
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("_id"), F.col(text).cast("binary").alias("_body"))
+    idle = F.col("_id").isNull() | F.coalesce(~F.col("_body").cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(True))
+    worded = packed.where(~idle).select("row", "_id", _digest(F.col("_body")).alias("_digest"))
+    kept = worded.join(first, ["_id", "_digest"], "left_semi").groupBy("_id", "_digest").agg(F.first("row").alias("row"))
+    return kept.select("row.*").unionByName(packed.where(idle).select("row.*"))

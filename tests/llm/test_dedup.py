@@ -61,6 +61,63 @@ def test_classes_against_brute_force(spark):
     assert kept == set(brute_classes(rows).values())
 
 
+def test_overlaps_and_forest():
+    rng = np.random.default_rng(4)
+    rows = [rng.integers(0, 30, rng.integers(1, 60)) for _ in range(40)] + [rng.integers(0, 3000, rng.integers(1, 500)) for _ in range(60)]
+    codes = [minhash.occurrences(x.astype(np.uint64)) for x in rows]
+    left, right = np.arange(70), np.arange(40, 100)
+    got = minhash.overlaps(codes, left, right)
+    for k, i in enumerate(left):
+        for n, j in enumerate(right):
+            if i != j:
+                assert got[k, n] == sum((Counter(rows[i].tolist()) & Counter(rows[j].tolist())).values())
+    linked, label = rng.random((70, 60)) < 0.05, rng.integers(0, 50, 100)
+    pairs = minhash.forest(linked, left, right, label)
+
+    def joined(edges):
+        root = {x: x for x in label.tolist()}
+        for i, j in edges:
+            a, b = root[label[i]], root[label[j]]
+            root = {k: a if v == b else v for k, v in root.items()}
+        return root
+
+    every = joined(pairs)
+    want = joined([(left[i], right[j]) for i, j in zip(*np.nonzero(linked), strict=True)])
+    assert len({(every[a], want[a]) for a in every}) == len(set(every.values())) == len(set(want.values()))
+    assert len(pairs) < 50 and all(linked[i, j - 40] for i, j in pairs)
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_groups_that_no_leader_joins(spark, monkeypatch, block):
+    """Copies of which many are 0.7 alike and few 0.8: classes as by brute force, links fewer than texts."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng, made = random.Random(8), []
+    base = prose(120)
+    for i in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(2, 5)):
+            w[rng.randrange(24) * 5] = rng.choice(VOCABULARY)
+        made.append((i, " ".join(w)))
+    df = spark.createDataFrame(made, "doc_id long, text string").repartition(3)
+    seen, check = [], minhash.verified
+    monkeypatch.setattr(minhash, "verified", lambda pairs, *a: seen.append(pairs.count()) or check(pairs, *a))
+    got = {r.doc_id: r.class_id for r in minhash.classes(df).collect()}
+    assert got == brute_classes(made) and 1 < len(set(got.values())) < 90
+    if block == 1024:
+        assert seen[-1] < 90
+
+
+def test_different_texts_under_one_id(spark):
+    one, two = " ".join(prose(50)), " ".join(prose(60))
+    rows = [(5, one), (5, two), (5, two), (7, two + " end"), (8, one), (9, " ".join(prose(40))), (9, None), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, r.class_id) for r in minhash.classes(df).collect())
+    assert got == Counter({(5, 5): 3, (7, 5): 1, (8, 5): 1, (9, 9): 3})
+    kept = Counter((r.doc_id, r.text) for r in minhash.deduplicated(df).collect())
+    assert kept[(9, None)] == 2 and kept[(9, rows[5][1])] == 1 and sum(kept.values()) == 5
+    assert kept[(5, one)] == kept[(5, two)] == 1
+
+
 def test_odd_rows(spark, odd_docs, no_docs):
     got = minhash.classes(odd_docs).collect()
     assert len(got) == odd_docs.count()
