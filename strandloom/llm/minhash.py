@@ -39,7 +39,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -120,8 +119,8 @@ def signatures(docs: DataFrame, text: str = "text") -> DataFrame:
                     words = w.hash[w.first[i] : w.first[i + 1]]
                     codes.append(bands(signature(tx.windows(words, min(SHINGLE, len(words))))) if len(words) else None)
                 n = len(codes)
-                digests = pc.if_else(pa.array([c is not None for c in codes], pa.bool_()), batch.column(2).slice(w.row, n), None)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, n), digests, pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+                digests = [d if c is not None else None for d, c in zip(batch.column(2).slice(w.row, n).to_pylist(), codes, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.row, n), pa.array(digests, pa.binary()), pa.array(codes, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
 
     body = docs.select("doc_id", F.col(text).cast("binary").alias("text"))
     return body.withColumn("digest", _digest(F.col("text"))).mapInArrow(run, "doc_id long, digest binary, bands array<long>")
