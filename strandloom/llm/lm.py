@@ -13,19 +13,22 @@ count, one share being that of all unseen words.  The model is so a distribution
 one unknown word a tail class.
 
 *Training.*  Truncated backpropagation in NumPy over windows of 32 words, state carried on and reset at
-the ends of texts.  All training texts are read, at every size: a seeded hash deals them to workers of about
+the ends of texts.  All training texts are read whole, at every size: a seeded hash deals them to workers of about
 ``WORKER_TOKENS`` words, whose number grows with the corpus.
-One worker warms up the model; all then go on from there on their own texts and their weights are averaged, in
-two levels.
+The first words of one worker warm up the model; all workers then go on from there on all their own texts, and their
+weights are averaged, in two levels.
 
-*Scoring.*  Whole texts, many in parallel, in windows between which the state is carried.
+*Scoring.*  Whole texts, one behind the other in many lanes, in windows between which the state is carried.
 
-Null texts are empty: one end token.  Repeated ids are told apart by row.  Without
-training rows all counts are 0 and the model stays at its start.
+Null texts are empty: one end token.  Repeated rows count and are scored one by one.  Where ids repeat or are
+null, rows are told apart by a number of their own, and which worker a text trains depends on it: the score may then differ
+slightly with the partitions, the counts and the base score do not.  Without
+training rows all counts are 0 and the model stays at its start.  Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -41,12 +44,14 @@ from .folds import fold
 from .scratch import staged
 
 FOLDS, HELD_OUT = 7, 2
-HEAD, CLASSES, HIDDEN = 2048, 46, 24
+HEAD, CLASSES, EMBED, HIDDEN = 2048, 46, 24, 24
 TAILS = 24
 RANGE_BYTES = 16 << 20  # of text for each hash range
-WORKER_TOKENS = 450_000
-LANES, STEPS, RATE = 64, 32, 0.15
-GROUP = 512  # texts scored side by side
+WORKER_TOKENS = 1_800_000
+WARM_TOKENS, WARM_LANES = 300_000, 64  # the warm-up, which all workers wait for
+LANES, STEPS, RATE = 256, 32, 0.15
+SCORE_LANES = 128
+SCORE_BYTES = 24 << 20  # of text scored at a time, or one text
 _TABLE = tx.byte_table(lower=True)
 _END = np.uint64(0x2B992DDFA23249D6)  # the end token's code
 
@@ -231,7 +236,7 @@ def _text_sums(table_a: pa.Table, table_b: pa.Table, head: np.ndarray) -> pa.Tab
 
 # --- the network -----------------------------------------------------------
 
-_SHAPES = {"table": (HEAD + TAILS, 3 * HIDDEN), "loop": (HIDDEN, 3 * HIDDEN), "class_w": (HIDDEN, CLASSES + TAILS), "class_b": (CLASSES + TAILS,), "word_w": (HEAD, HIDDEN), "word_b": (HEAD,)}
+_SHAPES = {"table": (HEAD + TAILS, EMBED), "inward": (EMBED, 3 * HIDDEN), "inward_b": (3 * HIDDEN,), "loop": (HIDDEN, 3 * HIDDEN), "class_w": (HIDDEN, CLASSES + TAILS), "class_b": (CLASSES + TAILS,), "word_w": (HEAD, HIDDEN), "word_b": (HEAD,)}
 _SIZE = sum(math.prod(s) for s in _SHAPES.values())
 _PER_CLASS = -(-HEAD // CLASSES)
 Net = dict[str, np.ndarray]
@@ -258,6 +263,9 @@ def start(v: Vocabulary, seed: int = 7) -> np.ndarray:
     net["class_b"][:] = np.log((total + 0.5) / (total.sum() + 1))
     net["class_w"][:] *= 0.2
     net["word_w"][:] *= 0.2
+    net["table"][:] *= 3
+    net["inward"][:] *= 2
+    net["inward_b"][:] = 0
     return flat
 
 
@@ -274,9 +282,15 @@ def _step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     return n + z * (h - n), (z, r, n, a[:, 2 * k :])
 
 
-def _log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(axis=1, keepdims=True)
-    return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+def _soften(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log-softmax of each row at ``pick``, 1 / sum); x becomes its exponentials, in place."""
+    top = x.max()
+    if top > 60 or x.min() < -60:
+        x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), pick]
+    np.exp(x, out=x)
+    total = x @ np.ones(x.shape[1], np.float32)
+    return own - np.log(total), np.float32(1) / total
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -285,35 +299,43 @@ def _classes(ids: np.ndarray) -> np.ndarray:
 
 def outputs(net: Net, h: np.ndarray, ids: np.ndarray, grad: Net | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of the class, and of the word in a head class; with ``grad``, the loss gradient by h too."""
-    kind = _classes(ids)
-    logits = _log_softmax(h @ net["class_w"] + net["class_b"])
+    kind = _classes(ids).astype(np.uint8)
+    order = np.argsort(kind, kind="stable")
+    h, kind, pick = h[order], kind[order], ids[order]
     every = np.arange(len(ids))
-    out = logits[every, kind].astype(np.float64)
-    back = None
+    x = h @ net["class_w"]
+    x += net["class_b"]
+    out, scale = _soften(x, kind)
+    out, back = out.astype(np.float64), None
     if grad is not None:
-        d = np.exp(logits)
-        d[every, kind] -= 1
-        back = d @ net["class_w"].T
-        grad["class_w"] += h.T @ d
-        grad["class_b"] += d.sum(axis=0)
-    order = np.argsort(kind, kind="stable")
-    cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
+        x *= scale[:, None]
+        x[every, kind] -= 1
+        back = x @ net["class_w"].T
+        grad["class_w"] += h.T @ x
+        grad["class_b"] += x.sum(axis=0)
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
     for c in range(CLASSES):
-        rows = order[cuts[c] : cuts[c + 1]]
-        if not len(rows):
+        a, z = cuts[c], cuts[c + 1]
+        if a == z:
             continue
         low, high = c * _PER_CLASS, min(HEAD, (c + 1) * _PER_CLASS)
-        part = h[rows]
-        inner = _log_softmax(part @ net["word_w"][low:high].T + net["word_b"][low:high])
-        pick = ids[rows] - low
-        out[rows] += inner[np.arange(len(rows)), pick]
+        x = h[a:z] @ net["word_w"][low:high].T
+        x += net["word_b"][low:high]
+        inner, scale = _soften(x, pick[a:z] - low)
+        out[a:z] += inner
         if grad is not None:
-            d = np.exp(inner)
-            d[np.arange(len(rows)), pick] -= 1
-            back[rows] += d @ net["word_w"][low:high]
-            grad["word_w"][low:high] += d.T @ part
-            grad["word_b"][low:high] += d.sum(axis=0)
-    return out, back
+            x *= scale[:, None]
+            x[np.arange(z - a), pick[a:z] - low] -= 1
+            back[a:z] += x @ net["word_w"][low:high]
+            grad["word_w"][low:high] += x.T @ h[a:z]
+            grad["word_b"][low:high] += x.sum(axis=0)
+    value = np.empty_like(out)
+    value[order] = out
+    if back is None:
+        return value, None
+    spread = np.empty_like(back)
+    spread[order] = back
+    return value, spread
 
 
 def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
@@ -321,10 +343,11 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
     flat = flat.astype(np.float32).copy()
     net = unpack(flat)
     lanes = max(1, min(lanes, len(stream) // (2 * steps)))
-    length = len(stream) // lanes
+    length = -(-len(stream) // lanes)
     if length < 2:
         return flat
-    grid = stream[: lanes * length].reshape(lanes, length)
+    # The last lane is filled up with empty texts, so that no word is left out.
+    grid = np.concatenate([stream, np.full(lanes * length - len(stream), end, stream.dtype)]).reshape(lanes, length)
     grid = np.concatenate([np.full((lanes, 1), end, grid.dtype), grid], axis=1)
     power = np.full(_SIZE, 1e-3, np.float32)
     h = np.zeros((lanes, HIDDEN), np.float32)
@@ -334,8 +357,10 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
         t_max = x_ids.shape[1]
         flat_grad = np.zeros(_SIZE, np.float32)
         grad = unpack(flat_grad)
-        x = net["table"][x_ids.T]
-        alive = (x_ids.T != end).astype(np.float32)[:, :, None]
+        words = np.ascontiguousarray(x_ids.T).reshape(-1)
+        drawn = net["table"][words]
+        x = (drawn @ net["inward"] + net["inward_b"]).reshape(t_max, lanes, 3 * k)
+        alive = (words != end).astype(np.float32).reshape(t_max, lanes, 1)
         states, starts = np.empty((t_max, lanes, k), np.float32), np.empty((t_max, lanes, k), np.float32)
         kept = []
         for t in range(t_max):
@@ -358,11 +383,11 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
             dh = (dh * z[t] + da[t] @ net["loop"].T) * alive[t]
         dx[:, :, : 2 * k] = da[:, :, : 2 * k]
         grad["loop"] += starts.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-        words = x_ids.T.reshape(-1)
-        order = np.argsort(words, kind="stable")
-        words = words[order]
-        first = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-        grad["table"][words[first]] = np.add.reduceat(dx.reshape(-1, 3 * k)[order], first, axis=0)
+        dx = dx.reshape(-1, 3 * k)
+        grad["inward"] += drawn.T @ dx
+        grad["inward_b"] += dx.sum(axis=0)
+        cells = (words[:, None] * EMBED + np.arange(EMBED)).reshape(-1)
+        grad["table"] += np.bincount(cells, weights=(dx @ net["inward"].T).reshape(-1), minlength=(HEAD + TAILS) * EMBED).reshape(-1, EMBED)
         flat_grad /= lanes * t_max / 32
         np.clip(flat_grad, -5, 5, out=flat_grad)
         power += flat_grad * flat_grad
@@ -370,37 +395,59 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
     return flat
 
 
-def score(flat: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end: int, tail_log: np.ndarray, group: int = GROUP, steps: int = STEPS) -> np.ndarray:
-    """Log10-probability of each text, but for the tail words' counts: ``tail_log`` is taken off for each tail class."""
+def _lanes(size: np.ndarray, lanes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Texts dealt to lanes of about equal length: (texts lane by lane, lengths of the lanes), longest lane first."""
+    lane_of, loads = np.zeros(len(size), np.int64), [(0, i) for i in range(lanes)]
+    for t in np.argsort(-size, kind="stable").tolist():
+        load, lane = loads[0]
+        lane_of[t] = lane
+        heapq.heapreplace(loads, (load + int(size[t]), lane))
+    load = np.bincount(lane_of, weights=size, minlength=lanes).astype(np.int64)
+    rank = np.empty(lanes, np.int64)
+    rank[np.argsort(-load, kind="stable")] = np.arange(lanes)
+    return np.argsort(rank[lane_of], kind="stable"), np.sort(load)[::-1]
+
+
+def score(flat: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end: int, tail_log: np.ndarray, lanes: int = SCORE_LANES, steps: int = STEPS) -> np.ndarray:
+    """Log10-probability of each text, but for the tail words' counts: ``tail_log`` is taken off for each tail class.
+
+    Texts stand one behind the other in lanes; the state starts anew with each text.
+    """
     net = unpack(flat)
     size = np.diff(bounds)
     out = np.zeros(len(size))
-    order = np.argsort(-size, kind="stable")
-    for low in range(0, len(order), group):
-        docs = order[low : low + group]
-        h = np.zeros((len(docs), HIDDEN), np.float32)
-        last = np.full(len(docs), end, np.int64)
-        for at in range(0, int(size[docs[0]]), steps):
-            active = int(np.searchsorted(-size[docs], -at, side="left"))  # texts longer than at
-            n = size[docs[:active]] - at
-            wide = min(steps, int(n[0]))
-            places = bounds[docs[:active], None] + at + np.arange(wide)
-            inside = np.arange(wide) < n[:, None]
-            y = np.where(inside, ids[np.minimum(places, len(ids) - 1)], end)
-            x = np.concatenate([last[:active, None], y[:, :-1]], axis=1)
-            h, last = h[:active], y[:, -1].copy()
-            states = np.empty((wide, active, HIDDEN), np.float32)
-            for t in range(wide):
-                m = int(np.searchsorted(-n, -t, side="left"))
-                h[:m], _ = _step(net, net["table"][x[:m, t]], h[:m])
-                states[t, :m] = h[:m]
-            rows = inside.T
-            y_flat = y.T[rows]
-            value, _ = outputs(net, states[rows], y_flat)
-            value = value / math.log(10)
-            is_tail = y_flat >= HEAD
-            value[is_tail] -= tail_log[y_flat[is_tail] - HEAD]
-            out[docs[:active]] += np.bincount(np.broadcast_to(np.arange(active), rows.shape)[rows], weights=value, minlength=active)
+    if not len(ids):
+        return out
+    texts, load = _lanes(size, max(1, min(lanes, len(size))))
+    text = np.repeat(texts, size[texts])
+    begin = np.cumsum(size[texts]) - size[texts]
+    words = ids[np.arange(len(ids)) - np.repeat(begin - bounds[texts], size[texts])]
+    before = np.concatenate([[end], words[:-1]])
+    before[begin[size[texts] > 0]] = end
+    carried = np.ones(len(ids), np.float32)
+    carried[begin[size[texts] > 0]] = 0
+    lane_at = np.cumsum(load) - load
+    h = np.zeros((len(load), HIDDEN), np.float32)
+    for at in range(0, int(load[0]), steps):
+        active = int(np.searchsorted(-load, -at, side="left"))  # lanes longer than at
+        left = load[:active] - at
+        wide = min(steps, int(left[0]))
+        inside = np.arange(wide)[:, None] < left
+        places = np.minimum(lane_at[:active] + at + np.arange(wide)[:, None], len(ids) - 1)
+        x = (net["table"][before[places.reshape(-1)]] @ net["inward"] + net["inward_b"]).reshape(wide, active, -1)
+        alive = carried[places][:, :, None]
+        h = h[:active]
+        states = np.empty((wide, active, HIDDEN), np.float32)
+        for t in range(wide):  # lanes that have ended go on without effect
+            h, _ = _step(net, x[t], h * alive[t])
+            states[t] = h
+        places = places[inside]
+        y = words[places]
+        value, _ = outputs(net, states[inside], y)
+        value = value / math.log(10)
+        is_tail = y >= HEAD
+        value[is_tail] -= tail_log[y[is_tail] - HEAD]
+        out += np.bincount(text[places], weights=value, minlength=len(out))
     return out
 
 
@@ -441,24 +488,25 @@ def _trained(docs: DataFrame, v: Vocabulary, total_tokens: int) -> np.ndarray:
     streams = docs.where("trains").select("uid", "body").mapInArrow(encode, "uid long, ids binary")
     streams = staged(streams.withColumn("worker", F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(workers))), "lm-streams")
 
-    def fitter(weights: np.ndarray):
+    def fitter(weights: np.ndarray, lanes: int, most: int | None = None):
         base = spark.sparkContext.broadcast(weights)
 
         def fit(table: pa.Table) -> pa.Table:
             order = np.argsort(table.column("uid").to_numpy(), kind="stable")
             texts = table.column("ids").to_pylist()
             stream = np.frombuffer(b"".join(texts[i] for i in order), np.uint16).astype(np.int64)
-            return pa.table({"worker": pa.array([table.column("worker")[0].as_py()], pa.int64()), "weights": pa.array([train(base.value, stream, end).astype(np.float64).tobytes()], pa.binary()), "n": pa.array([1], pa.int64())})
+            made = train(base.value, stream[:most], end, lanes=lanes)
+            return pa.table({"worker": pa.array([table.column("worker")[0].as_py()], pa.int64()), "weights": pa.array([made.astype(np.float64).tobytes()], pa.binary()), "n": pa.array([1], pa.int64())})
 
         return fit
 
     kind = "worker long, weights binary, n long"
     lowest = streams.agg(F.min("worker")).first()[0]
-    warm = streams.where(F.col("worker") == lowest).groupBy("worker").applyInArrow(fitter(first), kind).collect()
+    warm = streams.where(F.col("worker") == lowest).groupBy("worker").applyInArrow(fitter(first, WARM_LANES, WARM_TOKENS), kind).collect()
     if not warm:
         return first
     weights = np.frombuffer(warm[0]["weights"], np.float64).astype(np.float32)
-    return _average(staged(streams.repartition(workers, "worker").groupBy("worker").applyInArrow(fitter(weights), kind), "lm-weights"))
+    return _average(staged(streams.repartition(workers, "worker").groupBy("worker").applyInArrow(fitter(weights, LANES), kind), "lm-weights"))
 
 
 def scored(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -491,8 +539,10 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flat, words = model.value
         for batch in batches:
-            for low in range(0, len(batch), 4 * GROUP):
-                piece = batch.slice(low, 4 * GROUP)
+            at = np.cumsum(np.diff(tx.binary_parts(batch.column(3))[0])) // SCORE_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+            for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+                piece = batch.slice(low, high - low)
                 b = block(piece.column(3))
                 values = score(flat, words.ids(b.code, b.tail), b.bounds, end, np.log10(words.mass))
                 yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(values)], names=["uid", "doc_id", "held_out", "gated"])

@@ -166,9 +166,10 @@ def test_all_training_texts_reach_the_network(spark, monkeypatch, tokens):
     kept = {}
 
     def keep(df, name):
-        kept[name] = df.localCheckpoint()
+        kept[name] = write(df, name)
         return kept[name]
 
+    write = lm.staged
     monkeypatch.setattr(lm, "staged", keep)
     monkeypatch.setattr(lm, "WORKER_TOKENS", tokens // 3)
     assert not np.array_equal(lm._trained(docs, v, tokens), lm.start(v))
@@ -202,12 +203,45 @@ def test_gradient():
         assert back[i, j] == pytest.approx(slope, abs=2e-3)
 
 
+def test_gradient_through_time(monkeypatch):
+    """One step of training moves each weight against the finite difference of the loss over a window."""
+    rng = np.random.default_rng(3)
+    v = lm.Vocabulary(np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.int32), np.full(50, 5), np.full(lm.TAILS, 2.0), 250, 50)
+    flat = lm.start(v)
+    flat += (rng.standard_normal(len(flat)) * 0.1).astype(np.float32)
+    stream = rng.integers(0, 50, 24)
+
+    def loss(f):
+        net, h, out = lm.unpack(f.astype(np.float32)), np.zeros((1, lm.HIDDEN), np.float32), 0.0
+        for x, y in zip([0, *stream[:-1]], stream, strict=True):
+            h, _ = lm._step(net, net["table"][[x]] @ net["inward"] + net["inward_b"], h * np.float32(x != 0))
+            out -= lm.outputs(net, h, np.array([y]))[0][0]
+        return out
+
+    moved = lm.train(flat, stream, 0, lanes=1, steps=24, rate=1e-3) - flat
+    # Adagrad's first step: rate * g / sqrt(0.001 + g * g) with g = gradient / (24 / 32), clipped.
+    places = {"table": 9, "inward": 5, "inward_b": 5, "loop": 9}
+    at = 0
+    for name, shape in lm._SHAPES.items():
+        n = math.prod(shape)
+        if name in places:
+            for i in at + np.argsort(-np.abs(moved[at : at + n]))[: places[name]]:
+                up, down = flat.astype(np.float64).copy(), flat.astype(np.float64).copy()
+                up[i] += 1e-2
+                down[i] -= 1e-2
+                g = (loss(up) - loss(down)) / 2e-2 / (24 / 32)
+                assert moved[i] == pytest.approx(-1e-3 * g / math.sqrt(1e-3 + g * g), rel=0.1, abs=5e-5), (name, i)
+        at += n
+
+
 def test_state_is_carried_over_windows():
     v = lm.Vocabulary(np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.int32), np.full(50, 5), np.full(lm.TAILS, 2.0), 250, 50)
     flat = lm.start(v)
     rng = np.random.default_rng(1)
     ids = rng.integers(0, 50, 400).astype(np.int32)
     bounds = np.array([0, 150, 151, 400])
-    one = lm.score(flat, ids, bounds, 0, np.zeros(lm.TAILS), group=2, steps=7)
-    two = lm.score(flat, ids, bounds, 0, np.zeros(lm.TAILS), group=512, steps=1000)
+    one = lm.score(flat, ids, bounds, 0, np.zeros(lm.TAILS), lanes=2, steps=7)
+    two = lm.score(flat, ids, bounds, 0, np.zeros(lm.TAILS), lanes=512, steps=1000)
+    each = [lm.score(flat, ids[a:z], np.array([0, z - a]), 0, np.zeros(lm.TAILS))[0] for a, z in zip(bounds[:-1], bounds[1:], strict=True)]
+    assert one == pytest.approx(each, rel=1e-5)
     assert one == pytest.approx(two, rel=1e-5)
