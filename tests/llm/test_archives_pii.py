@@ -1,6 +1,7 @@
 """ARC and WARC, surrogates, the pipeline and the registered queries."""
 
 import hashlib
+import ipaddress
 import io
 import random
 import re
@@ -60,10 +61,13 @@ SAMPLES = {
 }
 
 
+KEY = b"a key for tests"
+
+
 @pytest.mark.parametrize("kind", list(SAMPLES))
 def test_formats(kind):
     for x in SAMPLES[kind]:
-        text, found = pii.replaced(f"see {x} here")
+        text, found = pii.replaced(f"see {x} here", KEY)
         assert [(k, o) for k, o, _ in found] == [(kind, x)]
         new = found[0][2]
         assert text == f"see {new} here" and new != x
@@ -73,33 +77,94 @@ def test_formats(kind):
             luhn = lambda s: pii._luhn(re.sub(r"\D", "", s)[:-1]) == int(s[-1])
             assert luhn(new) == luhn(x)
         if kind == "iban":
-            p = new.replace(" ", "")
-            assert int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1
-    assert pii.surrogate("ip", "10.0.0.7").startswith("10.") and pii.surrogate("ip", "192.168.1.1").startswith("192.168.")
-    assert pii.surrogate("email", "a1@mail.example.com").endswith(".example.com")
+            p, q = new.replace(" ", ""), x.replace(" ", "")
+            right = lambda p: int("".join(str(int(c, 36)) for c in p[4:] + p[:4])) % 97 == 1
+            assert right(p) == right(q)
+    assert pii.surrogate("ip", "10.0.0.7", KEY).startswith("10.") and pii.surrogate("ip", "192.168.1.1", KEY).startswith("192.168.")
+    assert pii.surrogate("email", "a1@mail.example.com", KEY).endswith(".example.com")
 
 
 def test_coreference_names_and_secrets():
-    text, found = pii.replaced('Mrs. Anna Jones met Herr Müller. Anna called. token = "CF1D64A9" then token = "cf1d64a9a4cd9723"; JO@X.ORG or jo@x.org')
+    text, found = pii.replaced('Mrs. Anna Jones met Dr. Łukasz Müller. Anna called. token = "CF1D64A9" then token = "cf1d64a9a4cd9723"; JO@X.ORG or jo@x.org', KEY)
     new = {o: s for _, o, s in found}
     assert text.count(new["Anna"]) == 2 and new["Anna"][-1] == "a" and new["Anna"][0].isupper() and "Anna" not in text and "Müller" not in text
+    assert new["Łukasz"] != "Łukasz" and new["Łukasz"][0].isupper()
     assert new["JO@X.ORG"] == new["jo@x.org"].upper()
     assert re.fullmatch(r"[0-9a-f]{16}", new["cf1d64a9a4cd9723"])
-    assert pii.replaced("plain 12 words, 3.14159 and 2021-10-10 stay") == ("plain 12 words, 3.14159 and 2021-10-10 stay", [])
-
-
-def test_surrogates_on_rows(spark, odd_docs, no_docs):
+    for plain in ("plain 12 words, 3.14159 and 2021-10-10 stay", "order 1234567890123456 std::vector secret: garden at 12:30:45", "٣٤٥-٣٤٥-٣٤٥٦"):
+        assert pii.replaced(plain, KEY) == (plain, [])
+
+
+def test_one_entity_in_many_shapes():
+    def of(text):
+        (_, _, new), *rest = pii.replaced(f"see {text} here", KEY)[1]
+        assert not rest
+        return new
+
+    numbers = ["+1-2125550123", "+12125550123", "+1 (212) 555-0123", "+1.212.555.0123"]
+    assert {re.sub(r"\D", "", of(x)) for x in numbers} == {re.sub(r"\D", "", of(numbers[0]))} and of(numbers[0]).startswith("+1-")
+    assert of("4111 1111 1111 1111").replace(" ", "") == of("4111111111111111") == of("4111-1111-1111-1111").replace("-", "")
+    assert of("GB82 WEST 1234 5698 7654 32").replace(" ", "") == of("GB82WEST12345698765432")
+    six = [ipaddress.ip_address(of(x)) for x in ("2001::8a2e:370:7334", "2001:0000:0000:0000:0000:8a2e:0370:7334", "2001:0:0:0:0:8A2E:370:7334")]
+    assert len(set(six)) == 1 and six[0].exploded.startswith("2001:")
+    assert pii.replaced("password: hunter2 and token=correct-horse!battery", KEY)[0].split()[1] != "hunter2"
+    assert "battery" not in pii.replaced("token=correct-horse!battery", KEY)[0]
+    assert pii.replaced("李雷测试@例子测试.中国", KEY)[0] != "李雷测试@例子测试.中国"
+
+
+def test_surrogates_are_one_to_one():
+    """Against a table: small classes of entities, all of them, and texts that a table of originals restores."""
+    every = {
+        "hex": [("secret", f"{i:03x}") for i in range(4096)],
+        "other": [("secret", a + b + c) for a in "afgz" for b in "09x" for c in "bcdefghij"],
+        "phone": [("phone", f"+1{i:03d}") for i in range(1000)] + [("phone", f"+49{i:02d}") for i in range(100)] + [("phone", f"{i:03d}") for i in range(1000)],
+        "iban": [("iban", f"DE{c:02d}{b}") for c in range(100) for b in ("1A2", "1B2", "3A4", "9Z9")],
+        "card": [("card", f"{i:04d}") for i in range(10000)],
+        "name": [("name", a + b) for a in "ABEIŁŠЖ" for b in ("nna", "nno", "lle", "łłł", "жжж")],
+    }
+    for entities in every.values():
+        table = {}
+        for kind, x in entities:
+            new = pii.surrogate(kind, x, KEY)
+            assert new != x and table.setdefault(pii.canonical(kind, new), pii.canonical(kind, x)) == pii.canonical(kind, x)
+
+
+def test_surrogates_on_rows(spark, odd_docs, no_docs, monkeypatch):
     out = pii.surrogates(odd_docs)
     assert out.columns == [*odd_docs.columns, "_entities"]
     assert sorted((r.doc_id, r.text) for r in out.collect() if r.text) == sorted((r.doc_id, r.text) for r in odd_docs.collect() if r.text)
     assert pii.surrogates(no_docs).count() == 0
+    taken = odd_docs.withColumn("_entities", odd_docs.text).withColumn("__Entities", odd_docs.text)
+    assert pii.checked(taken).columns == [*taken.columns, "___entities"]
     many = spark.createDataFrame([(i, f"10.1.{i // 250}.{i % 250} and u{i}@m.example.com, again U{i}@M.example.com") for i in range(600)], "doc_id long, text string")
-    made = pii.surrogates(many)
+    made = pii.checked(many)
     assert pii.collisions(made).count() == 0
     assert made.selectExpr("inline(_entities)").select("kind", "surrogate").distinct().count() == 1200
     assert pii.counted(made).where("n_email = 2 AND n_ip = 1 AND n_entities = 3").count() == 600
-    clash = spark.createDataFrame([(1, [("ip", "a", "x")]), (2, [("ip", "b", "x")])], "doc_id long, _entities array<struct<kind:string,original:string,surrogate:string>>")
-    assert pii.collisions(clash).count() == 1
+    kind = "doc_id long, _entities array<struct<kind:string,original:string,surrogate:string>>"
+    assert pii.collisions(spark.createDataFrame([(1, [("ip", "a", "x")]), (2, [("ip", "b", "x")])], kind)).count() == 1
+    assert pii.collisions(spark.createDataFrame([(1, [("ip", "a", "x")]), (2, [("ip", "a", "y")])], kind)).count() == 1
+    # A forced clash: the first key gives collisions, the derived one does not.
+    make, keys = pii.surrogates, []
+
+    def clashing(docs, text, key):
+        keys.append(key)
+        return make(docs, text, key) if len(keys) > 1 else make(docs, text, key).selectExpr("doc_id", "text", "transform(_entities, e -> named_struct('kind', e.kind, 'original', e.original, 'surrogate', 'x')) AS _entities")
+
+    monkeypatch.setattr(pii, "surrogates", clashing)
+    again = pii.checked(many, key=KEY)
+    assert len(set(keys)) == 2 and pii.collisions(again).count() == 0
+
+
+def test_key(spark):
+    assert pii.session_key(spark) == pii.session_key(spark) and len(pii.session_key(spark)) == 32
+    df = spark.createDataFrame([(1, "a1@mail.example.com")], "doc_id long, text string")
+    one = pii.surrogates(df).first().text
+    spark.conf.set(pii.SETTING, "another")
+    try:
+        assert pii.session_key(spark) == b"another" and pii.surrogates(df).first().text != one
+    finally:
+        spark.conf.unset(pii.SETTING)
 
 
 def test_pipeline(spark, tmp_path, odd_docs):
