@@ -3,51 +3,42 @@
 Labelled good and bad texts each train a Zstandard dictionary.  A text is
 compressed with either dictionary in pieces of ``PIECE`` bytes, so that what counts is
 how well the dictionary foretells it and not how well it foretells itself; the
-difference of the two compressed sizes over the text's size is the main
-evidence.  Beside it stand the same differences for the text's character shapes (letters
-become ``a`` or ``A``, digits ``0``; the dictionaries for those are trained alike) and the
-plain compression ratio of the whole text.  A logistic fit on labelled
-rows kept apart from the dictionaries turns them into a calibrated score.
+difference of the two compressed sizes over the text's size is the evidence.  A logistic fit on labelled
+rows kept apart from the dictionaries turns it into a calibrated score.
 
 Labels are learned from a bounded sample, ``FIT_ROWS`` rows at most, drawn by a
-seeded hash of the id.  Null and empty texts score the base rate of the training
-labels.  With one class only in training, every text scores that base rate.
-Each row is scored by itself: repeated rows score alike; long texts are compressed
-whole, in pieces.
+seeded hash of the id.  Half of them, by another hash, give the dictionaries' pieces, from anywhere in their whole texts:
+all pieces, or the ``FIT_PIECES`` of each class with the smallest hashes.  The other half calibrates: their whole texts are
+compressed on the executors, and one number a row comes back.
+
+Null and empty texts score the base rate of the training labels.  With one class only in training, or no rows, every text
+scores that base rate.  Each row is scored by itself: repeated rows score alike; very long texts are compressed
+whole, in pieces.  An empty table gives no rows.  Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import fold, labelled_sample
+from .scratch import staged
 
 FIT_ROWS = 6000
-FIT_BYTES = 20_000  # of a training text, for the dictionaries only
+FIT_PIECES = 8000  # of each class, 16 MB
 DICT_BYTES = 16_384
 PIECE = 2048
 LEVEL = 3
 THRESHOLD = 0.7
 FOLDS, HELD_OUT = 4, 2
 
-_SHAPES = np.arange(256, dtype=np.uint8)
-_SHAPES[97:123] = _SHAPES[128:] = 97
-_SHAPES[65:91] = 65
-_SHAPES[48:58] = 48
-
-
-def shape(text: bytes) -> bytes:
-    return text.translate(_SHAPES.tobytes())
-
-
 class Model:
     """Dictionaries and the logistic fit; small, and sent to executors whole."""
 
@@ -58,28 +49,18 @@ class Model:
     def __getstate__(self):
         return {"dictionaries": self.dictionaries, "weights": self.weights, "base": self.base, "_tools": None}
 
-    def features(self, text: bytes) -> list[float]:
+    def evidence(self, text: bytes) -> float:
+        """How much less the good texts' dictionary leaves than the bad texts', over the size."""
         if self._tools is None:
-            made = [zstandard.ZstdCompressionDict(x) if x else None for x in self.dictionaries]
-            self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=x, write_content_size=False) if x else None for x in made]
-            self._plain = zstandard.ZstdCompressor(level=LEVEL, write_content_size=False)
-        out = [1.0]
-        size = len(text) + 32.0
-        for body, tools in ((text, self._tools[:2]), (shape(text), self._tools[2:])):
-            cost = [0, 0]
-            if all(tools):
-                for at in range(0, len(body), PIECE):
-                    piece = body[at : at + PIECE]
-                    for i in (0, 1):
-                        cost[i] += len(tools[i].compress(piece))
-            out.append(10 * (cost[1] - cost[0]) / size)
-        out.append(len(self._plain.compress(text)) / size)
-        return out
+            made = [zstandard.ZstdCompressionDict(x) for x in self.dictionaries]
+            self._tools = [zstandard.ZstdCompressor(level=LEVEL, dict_data=x, write_content_size=False) for x in made]
+        bad, good = (sum(len(tool.compress(text[at : at + PIECE])) for at in range(0, len(text), PIECE)) for tool in self._tools)
+        return 10 * (bad - good) / (len(text) + 32.0)
 
     def score(self, text: bytes | None) -> float:
-        if not text or not text.strip():
+        if not self.dictionaries or not text or not text.strip():
             return self.base
-        z = float(np.dot(self.weights, self.features(text)))
+        z = float(self.weights[0] + self.weights[1] * self.evidence(text))
         return 1.0 / (1.0 + math.exp(-max(-40.0, min(40.0, z))))
 
 
@@ -97,9 +78,7 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, steps: int = 60)
     return w
 
 
-def _dictionary(texts: list[bytes]) -> bytes:
-    pieces = [t[i : i + PIECE] for t in texts for i in range(0, min(len(t), FIT_BYTES), PIECE)]
-    pieces = [p for p in pieces if len(p) >= 8]
+def _dictionary(pieces: list[bytes]) -> bytes:
     total = sum(map(len, pieces))
     if len(pieces) < 8 or total < 1024:
         return b"".join(pieces)[:DICT_BYTES]
@@ -109,27 +88,46 @@ def _dictionary(texts: list[bytes]) -> bytes:
         return b"".join(pieces)[-DICT_BYTES:]
 
 
-def fit(rows: list[tuple[bytes, int]]) -> Model:
-    """From (text, label) rows: even ones train dictionaries, odd ones the score."""
-    rows = [(t, y) for t, y in rows if t and t.strip()]
-    base = (sum(y for _, y in rows) + 1) / (len(rows) + 2)
-    by_class = [[t for t, y in rows if y == k] for k in (0, 1)]
-    if min(map(len, by_class)) < 4:
-        return Model([b"", b"", b"", b""], np.array([math.log(base / (1 - base)), 0.0, 0.0, 0.0]), base)
-    train = [x[::2] for x in by_class]
-    dictionaries = [_dictionary(train[1]), _dictionary(train[0]), _dictionary([shape(t) for t in train[1]]), _dictionary([shape(t) for t in train[0]])]
-    model = Model(dictionaries, np.zeros(4), base)
-    apart = [(t, k) for k in (0, 1) for t in by_class[k][1::2]]
-    x = np.array([model.features(t) for t, _ in apart])
-    model.weights = logistic(x, np.array([float(k) for _, k in apart]))
-    return model
+def _pieces(rows: DataFrame, label: int) -> list[bytes]:
+    """Pieces of the whole texts of a class, those with the smallest hashes.  rows: (doc_id, text, label)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                pieces = [x for at in range(0, len(raw), PIECE) if len(x := raw[at : at + PIECE]) >= 8]
+                ranks = [xxhash.xxh64_intdigest(f"{key}:{i}") >> 1 for i in range(len(pieces))]
+                yield pa.RecordBatch.from_arrays([pa.array(ranks, pa.int64()), pa.array(pieces, pa.binary())], names=["rank", "piece"])
+
+    found = rows.where(F.col("label") == label).select("doc_id", "text").mapInArrow(run, "rank long, piece binary")
+    return [bytes(r["piece"]) for r in found.orderBy("rank", "piece").limit(FIT_PIECES).collect()]
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Model:
-    rows = labelled_sample(docs, labels, "quality", (FOLDS, HELD_OUT), fit_rows)
-    found = rows.select("doc_id", F.substring(F.col("text").cast("binary"), 1, FIT_BYTES), "label").collect()
-    found.sort(key=lambda r: zlib.crc32(str(r[0]).encode()))  # the same order in any run
-    return fit([(bytes(t) if t is not None else b"", y) for _, t, y in found])
+    rows = labelled_sample(docs, labels, "quality", (FOLDS, HELD_OUT), fit_rows).select("doc_id", F.col("text").cast("binary").alias("text"), "label")
+    rows = staged(rows.where(F.trim(F.col("text").cast("string")) != ""), "quality-rows")
+    half = F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))) % 2
+    counts = {(r[0], r[1]): r[2] for r in rows.groupBy("label", half.alias("half")).agg(F.count(F.lit(1))).collect()}
+    n = [sum(c for (k, _), c in counts.items() if k == label) for label in (0, 1)]
+    base = (n[1] + 1) / (sum(n) + 2)
+    if min(counts.get((label, part), 0) for label in (0, 1) for part in (0, 1)) < 2:
+        return Model([], np.zeros(2), base)
+    dictionaries = [_dictionary(_pieces(rows.where(half == 0), label)) for label in (0, 1)]
+    if not all(dictionaries):
+        return Model([], np.zeros(2), base)
+    model = Model(dictionaries, np.zeros(2), base)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([own.evidence(t.as_buffer().to_pybytes()) for t in batch.column(1)], pa.float64())], names=["doc_id", "label", "x"])
+
+    apart = rows.where(half == 1).select(F.col("doc_id").cast("string").alias("doc_id"), "text", "label").mapInArrow(run, "doc_id string, label int, x double").collect()
+    apart.sort(key=lambda r: (r["doc_id"], r["x"]))  # the same order in any run
+    x = np.array([[1.0, r["x"]] for r in apart])
+    model.weights = logistic(x, np.array([float(r["label"]) for r in apart]))
+    return model
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:

@@ -194,7 +194,7 @@ class Trees:
         self.n_trees, self.depth, self.rate, self.bins, self.least = n_trees, depth, rate, bins, least
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Trees:
-        self.cuts = [np.unique(np.quantile(c[c > 0] if (c > 0).any() else c, np.linspace(0, 1, self.bins))) if True else c for c in x.T]
+        self.cuts = [np.unique(np.quantile(c[c > 0] if (c > 0).any() else c, np.linspace(0, 1, self.bins))) for c in x.T]
         b = self._binned(x)
         p = np.clip(y.mean(), 1e-3, 1 - 1e-3)
         self.start = math.log(p / (1 - p))
@@ -289,13 +289,12 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS)
     found.sort(key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0]))  # the same order in any run
     y = np.array([k for _, k in found], dtype=float)
     base = float((y.sum() + 0.5) / (len(y) + 1))
-    if min(len({doc_id for doc_id, k in found if k == c}) for c in (0, 1)) < MIN_CLASS:
+    if min(sum(k == c for _, k in found) for c in (0, 1)) < MIN_CLASS:
         return Model(None, None, np.zeros(1), np.zeros(1), base)
     parts, dealt = {}, [0, 0]
-    for doc_id, k in found:  # each class is dealt 2 : 2 : 1, repeated rows of an id alike
-        if doc_id not in parts:
-            parts[doc_id] = (0, 1, 0, 1, 2)[dealt[k] % 5]
-            dealt[k] += 1
+    for doc_id, k in found:  # each class is dealt 2 : 2 : 1
+        parts[doc_id] = (0, 1, 0, 1, 2)[dealt[k] % 5]
+        dealt[k] += 1
     dealt_rows = docs.sparkSession.createDataFrame(list(parts.items()), "doc_id long, part int")
     rows = rows.join(F.broadcast(dealt_rows), "doc_id")
     first = [k for doc_id, k in found if parts[doc_id] == 0]

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+import zstandard
 
 from strandloom.llm import folds, lm, quality, toxicity
 
@@ -56,6 +57,34 @@ def test_quality(corpus, odd_docs, no_docs):
     assert {r.score for r in quality.scored(odd_docs, empty).collect()} == {0.5}
 
 
+def test_evidence_and_calibration_against_brute_force(spark, monkeypatch):
+    """Compressed sizes made anew, the best logistic fit by a grid, and pieces from behind a long beginning."""
+    monkeypatch.setattr(quality, "FIT_PIECES", 30)
+    rows = [(i, (plain(1500) + " " if i % 3 == 0 else "") + (junk(400) if i % 2 else plain(400))) for i in range(160)] + [(7, "zz"), (7, "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2) for i in range(160)], "doc_id long, quality int")
+    model = quality.quality_model(docs, labels)
+    got = {r.doc_id: r for r in quality.scored(docs, model).collect() if r.doc_id != 7}
+    tools = [zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False) for x in model.dictionaries]
+    apart = []
+    for i, text in rows[:160]:
+        raw = text.encode()
+        sizes = [sum(len(t.compress(raw[a : a + quality.PIECE])) for a in range(0, len(raw), quality.PIECE)) for t in tools]
+        x = 10 * (sizes[0] - sizes[1]) / (len(raw) + 32)
+        if i != 7:
+            assert got[i].score == pytest.approx(1 / (1 + math.exp(-(model.weights[0] + model.weights[1] * x))), abs=1e-9)
+            if fold(i, 4) != 2 and zlib.crc32(f"half:{i}".encode()) % 2:
+                apart.append((x, 1 - i % 2))
+    x, y = np.array(apart).T
+
+    def loss(a, b):
+        z = a + b * x
+        return np.logaddexp(0, -z)[y == 1].sum() + np.logaddexp(0, z)[y == 0].sum() + 1e-3 * len(y) * b * b / 2
+
+    best = loss(*model.weights)
+    assert all(best <= loss(model.weights[0] + da, model.weights[1] + db) + 1e-9 for da in (-0.2, 0, 0.2) for db in (-0.2, 0, 0.2))
+
+
 def test_labels_of_the_held_out_fold_do_not_count(corpus):
     docs, labels = corpus
     turned = labels.withColumn("quality", folds.F.when(folds.fold(folds.F.col("doc_id"), 4) == 2, 1 - folds.F.col("quality")).otherwise(folds.F.col("quality")))
@@ -78,6 +107,38 @@ def test_toxicity_learns_from_whole_texts(spark):
     assert held and all(r.predicted == r.doc_id % 2 for r in held)
 
 
+def test_sample_has_one_row_an_id(spark):
+    docs = spark.createDataFrame([(1, "b"), (1, "a"), (1, None), (2, None), (3, "c"), (None, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 5), (None, 1)], "doc_id long, toxic int")
+    got = folds.labelled_sample(docs, labels, "toxic", (9, 100), 50).collect()
+    assert sorted(map(tuple, got), key=repr) == [(1, "a", 0), (2, None, 1)]
+
+
+def test_toxicity_against_brute_force(spark):
+    """Trees by following each row by itself, calibration as the best of all non-decreasing fits of the rows."""
+    rng = np.random.default_rng(5)
+    x = np.round(rng.random((200, 3)), 2)
+    y = ((x[:, 0] > 0.4) & (rng.random(200) < 0.8)).astype(float)
+    t = toxicity.Trees(n_trees=12).fit(x, y)
+    for row, value in zip(x, t.raw(x), strict=True):
+        z = t.start
+        for tree, leaf in t.trees:
+            node = 0
+            for splits in tree:
+                feature, cut = splits[node][0], splits[node][1]
+                node = 2 * node + int(sum(c <= row[feature] for c in t.cuts[feature]) > cut)
+            z += leaf[node]
+        assert value == pytest.approx(z)
+    z = t.raw(x)
+    knots, values = toxicity.isotonic(z, y)
+    order = np.argsort(z, kind="stable")
+    s = y[order]
+    # The isotonic fit at k is the least over j >= k of the largest mean over i <= k.
+    want = [min(max(s[i : j + 1].mean() for i in range(k + 1)) for j in range(k, len(s))) for k in range(len(s))]
+    got = np.interp(z[order], knots, values)
+    assert np.corrcoef(got, want)[0, 1] > 0.99 and (np.diff(got) >= -1e-12).all()
+
+
 def test_isotonic():
     rng = np.random.default_rng(1)
     z = rng.normal(size=300)
