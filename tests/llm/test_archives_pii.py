@@ -1,5 +1,6 @@
 """ARC and WARC, surrogates, the pipeline and the registered queries."""
 
+import gzip
 import hashlib
 import ipaddress
 import io
@@ -19,13 +20,43 @@ def test_arc_versions_and_declared_lengths():
         raw = warc.arc_version_block("x.arc", version, "20010203040506") + b"\n" + warc.arc_record(version, "http://a/", "1.2.3.4", "20010203040506", "text/html", body, "x.arc") + b"\n" + warc.arc_record(version, "http://b/", "1.2.3.4", "20010203", "text/plain", b"", "x.arc") + b"\n"
         records = list(warc.read_arc(io.BytesIO(raw)))
         assert [r.fields["URL"] for r in records] == ["http://a/", "http://b/"] and records[0].body == body and records[1].body == b""
-        with pytest.raises(ValueError):
-            list(warc.read_arc(io.BytesIO(raw[:-4])))
+        cut = list(warc.read_arc(io.BytesIO(raw[: raw.index(b"line")])))
+        assert len(cut) == 1 and isinstance(cut[0], warc.Broken) and "declared" in cut[0].reason
     with pytest.raises(ValueError):
         list(warc.read_arc(io.BytesIO(b"http://a/ 1 2 3 4\n")))
     assert warc.iso("20010203040506") == "2001-02-03T04:05:06Z" and warc.iso("20010203") == "2001-02-03T00:00:00Z"
 
 
+def test_unusual_and_broken_records(spark, tmp_path):
+    """Blanks and odd bytes in URLs are read; broken records are left out and listed, those behind them are read."""
+    date, page = "20010203040506", lambda n: b"HTTP/1.1 200 OK\r\nX-Page-Id: %d\r\n\r\n" % n + b"p" * 120
+    one = lambda head, body: head + b" %d\n" % len(body) + body + b"\n"
+    rest = b" 1.2.3.4 " + date.encode() + b" text/html"
+    raw = warc.arc_version_block("x.arc", 1, date) + b"\n"
+    raw += one(b"http://a/with blank" + rest, page(1)) + one(b"http://b/\xff\xe9" + rest, page(2)) + one(b"http://c/ 1.2.3.4 yesterday text/html", page(3))
+    raw += b"garbage in between\n" + one(b"short", b"http") + one(b"http://d/" + rest, page(4)) + b"http://e/" + rest + b" many\nlost\n" + one(b"http://f/" + rest, page(5))
+    raw += one(b"http://g/" + rest, b"HTTP/1.1 200 OK\r\nX-Page-Id: none\r\n\r\nno number") + b"http://h/" + rest + b" 500\ncut off"
+    (tmp_path / "arc").mkdir()
+    (tmp_path / "arc" / "x.arc").write_bytes(raw)
+    warc.convert(spark, str(tmp_path / "arc"), str(tmp_path / "warc"))
+    got = {r.url: r for r in warc.read_warc(spark, str(tmp_path / "warc")).collect()}
+    assert set(got) == {"http://a/with%20blank", "http://b/%FF%E9", "http://d/", "http://f/", "http://g/"}
+    assert got["http://d/"].record_type == "revisit" and got["http://d/"].refers_to == 1 and got["http://d/"].payload_bytes == 120
+    assert got["http://g/"].page_id is None and len({r.record_id for r in got.values()}) == 5
+    left = [(r.reason, raw[r.offset :].startswith(bytes(r.header))) for r in warc.quarantined(spark, str(tmp_path / "arc")).collect()]
+    assert [x for x, _ in left] == ["no date", "no length", "500 bytes declared, 7 there"]
+    assert all(ok for _, ok in left)
+
+
+def test_archives_are_bounded_by_bytes(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 5000)
+    df = spark.createDataFrame([(i, "u", "x" * (20_000 if i == 7 else 900)) for i in range(40)], "page_id long, url string, html string").repartition(1)
+    warc.write_arc(df.withColumn("value", df.url).withColumn("content", df.url), str(tmp_path / "arc"))
+    sizes = [len(gzip.decompress(p.read_bytes())) for p in (tmp_path / "arc").glob("part-*")]
+    assert len(sizes) >= 8 and sorted(sizes)[-2] < 6000 < 20_000 < max(sizes) < 27_000
+    assert warc.quarantined(spark, str(tmp_path / "arc")).count() == 0
+
+
 def test_round_trip(spark, monkeypatch):
     monkeypatch.setattr(warc, "RECORDS", 3)
     long, tricky = "x" * 100, "WARC/1.1\r\n\r\n\r\nWARC-Type: response\r\n" * 5
