@@ -291,7 +291,8 @@ def intervals(docs: DataFrame) -> DataFrame:
     """(uid, runs) of texts with repeated windows.  docs: (uid, text), uids differ."""
     keys = staged(_keys(docs), "fm-keys")
     rows = keys.select("uid", F.posexplode("keys").alias("place", "key"))
-    several = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
+    # Written first: a join with a plain table can split the rows of a hot minimiser over tasks.
+    several = staged(rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "fm-several")
     chosen = rows.join(several, "key", "left_semi").groupBy("uid").agg(F.sort_array(F.collect_list("place")).alias("places"))
     chosen = staged(chosen, "fm-chosen")
     cut = _without_hot(staged(_cut(docs.join(chosen, "uid")), "fm-segments"))
