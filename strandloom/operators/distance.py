@@ -3,7 +3,7 @@
 A distance is an object whose ``pair(a, b)`` gives a Column.  Hamming and Levenshtein are built-in
 operators; the alignments are NumPy rows in a Pandas UDF (``fold`` gives the same as nested SQL folds,
 for short strings).  ``cdist`` and ``pdist`` make a row for each pair, which is their
-result; the smaller side is broadcast if it is of a checked size.
+result; the smaller side is broadcast, in blocks of a checked size.
 """
 
 from __future__ import annotations
@@ -32,22 +32,34 @@ class BaseDistance:
         row = spark.createDataFrame([(a, b)], "a string, b string").select(self.pair(F.col("a"), F.col("b")).alias("d")).first()
         return row[0]
 
-    def cdist(self, X: DataFrame, Y: DataFrame | None = None) -> DataFrame:
-        """(a_id, b_id, d) for each pair of a row of X and a row of Y, or of X."""
+    def cdist(self, X: DataFrame, Y: DataFrame | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+        """(a_id, b_id, d) for each pair of a row of X and a row of Y, or of X; with the columns ``keep`` of Y."""
         left = X.select(F.col("seq_id").alias("a_id"), F.col("seq").alias("a"))
-        right = (X if Y is None else Y).select(F.col("seq_id").alias("b_id"), F.col("seq").alias("b"))
-        return left.join(_side(right, "b")).select("a_id", "b_id", self.pair(F.col("a"), F.col("b")).alias("d"))
+        right = (X if Y is None else Y).select(F.col("seq_id").alias("b_id"), F.col("seq").alias("b"), *keep)
+        return _product(left, right).select("a_id", "b_id", self.pair(F.col("a"), F.col("b")).alias("d"), *keep)
 
     def pdist(self, X: DataFrame) -> DataFrame:
         """(a_id, b_id, d) for each pair with a_id < b_id."""
         left = X.select(F.col("seq_id").alias("a_id"), F.col("seq").alias("a"))
-        right = _side(X.select(F.col("seq_id").alias("b_id"), F.col("seq").alias("b")), "b")
-        return left.join(right, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", self.pair(F.col("a"), F.col("b")).alias("d"))
-
-
-def _side(df: DataFrame, seq: str) -> DataFrame:
-    size = df.agg(F.sum(F.length(seq) + 16)).first()[0] or 0
-    return F.broadcast(df) if size <= BROADCAST_BYTES else df
+        right = X.select(F.col("seq_id").alias("b_id"), F.col("seq").alias("b"))
+        return _product(left, right, F.col("a_id") < F.col("b_id")).select("a_id", "b_id", self.pair(F.col("a"), F.col("b")).alias("d"))
+
+
+def _product(left: DataFrame, right: DataFrame, on: Column | None = None) -> DataFrame:
+    """All pairs, the smaller side broadcast if it is of a checked size; if neither is, one is cut in blocks that are."""
+    sizes = [int(df.agg(F.sum(F.length(name) + 16)).first()[0] or 0) for df, name in ((left, "a"), (right, "b"))]
+    small = 0 if sizes[0] < sizes[1] else 1
+    both = [left, right]
+    if sizes[small] <= BROADCAST_BYTES:
+        both[small] = F.broadcast(both[small])
+        return both[0].join(both[1], on) if on is not None else both[0].crossJoin(both[1])
+    blocks = -(-2 * sizes[small] // BROADCAST_BYTES)  # twice as many, as a hash deals them unevenly
+    out, whole = None, both[small]
+    for i in range(blocks):
+        both[small] = F.broadcast(whole.where(F.pmod(F.xxhash64(whole.columns[0]), F.lit(blocks)) == i))
+        part = both[0].join(both[1], on) if on is not None else both[0].crossJoin(both[1])
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def differing(a: Column, b: Column) -> Column:

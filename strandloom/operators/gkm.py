@@ -17,6 +17,8 @@ Norms are row-local for whole sequences.  Lower case is accepted, other letters
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,8 +30,9 @@ from ..functions.sequences import mismatches, window_starts
 from ..functions.weights import POSITIONAL, TRANSFORMS, mismatch_weights, positional_weight, transformed
 from .encoders import Batch, array_rc, deltas, grouped, positional_lmers
 
-#: Distinct (sequence, code) reference rows, times neighbours, that are broadcast at most.
-BROADCAST_ENTRIES = 20_000_000
+#: Entries of a reference table that are broadcast at a time, and how many such blocks, each a pass over the queries.
+BLOCK_ENTRIES, MAX_BLOCKS = 4_000_000, 16
+RESULT_ROWS = 1_000_000  # pairs sent on at a time
 NEIGHBOURS = 5000
 #: Numbers of codes up to which a sequence is a dense vector of counts.
 DENSE_CODES = 1 << 14
@@ -79,6 +82,23 @@ def _spectrum(L: int, weights: np.ndarray) -> np.ndarray:
     return np.array(by_t)[np.bitwise_count((codes | codes >> 1) & 0x5555555555555555)]
 
 
+def neighbour_count(L: int, d: int) -> int:
+    return sum(math.comb(L, j) * 3**j for j in range(d + 1))
+
+
+def spread_table(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int, L: int, weights: np.ndarray) -> np.ndarray:
+    """(codes x rows): what each code gets from each row's codes, by its mismatches; a convolution by transforms."""
+    values, out = _spectrum(L, weights) / 4**L, np.empty((4**L, rows))
+    step = max(1, (1 << 20) // 4**L)
+    for low in range(0, rows, step):
+        high = min(rows, low + step)
+        mine = (row >= low) & (row < high)
+        dense = np.bincount((row[mine] - low) * 4**L + code[mine], weights=n[mine], minlength=(high - low) * 4**L).reshape(high - low, 4**L)
+        out[:, low:high] = _hadamard(_hadamard(dense) * values).T
+    out[np.abs(out) < 1e-9] = 0.0  # sums without terms
+    return out
+
+
 def self_sums(row: np.ndarray, code: np.ndarray, n: np.ndarray, rows: int, L: int, weights: np.ndarray, use_rc: bool) -> np.ndarray:
     """raw(a, a) of each sequence of a batch, from its (row, code, count), sorted by row."""
     out = np.zeros(rows)
@@ -123,7 +143,7 @@ def neighbour_table(spark, L: int, d: int, weights: list[float]) -> DataFrame:
 
 def raw_by_neighbours(q: DataFrame, r: DataFrame, by: list[str], L: int, d: int, weights: list[float], same: bool = False) -> DataFrame:
     """(q_id, r_id, by..., raw); with ``same``, of each sequence with itself only."""
-    table = F.broadcast(neighbour_table(q.sparkSession, L, d, weights))  # at most NEIGHBOURS rows
+    table = F.broadcast(neighbour_table(q.sparkSession, L, d, weights))  # a few thousand rows (auto), or as many as were asked for
     spread = r.crossJoin(table).select("seq_id", *by, F.col("code").bitwiseXOR(F.col("x")).alias("code"), (F.col("n") * F.col("w")).alias("m"))
     spread = spread.groupBy("seq_id", *by, "code").agg(F.sum("m").alias("m"))
     left = q.withColumnRenamed("seq_id", "q_id")
@@ -212,9 +232,13 @@ class BaseGKMKernel:
     def _lmers(self, df: DataFrame) -> DataFrame:
         return positional_lmers(df, self.L).withColumn("pw", F.lit(1.0))
 
+    def _step(self):
+        """The way to join codes: over neighbours if there are few, or as asked."""
+        few = neighbour_count(self.L, self.d) <= NEIGHBOURS
+        return raw_by_neighbours if (self.strategy in ("auto", "broadcast") and few) or self.strategy == "neighbours" else raw_by_blocks
+
     def _raw(self, q: _Sides, r: _Sides, same: bool = False) -> DataFrame:
-        few = len(deltas(self.L, self.d)[0]) <= NEIGHBOURS
-        step = raw_by_neighbours if (self.strategy in ("auto", "broadcast") and few) or self.strategy == "neighbours" else raw_by_blocks
+        step = self._step()
         return step(q.forward, r.both, q.by, self.L, self.d, self._weights, same)
 
     def _norms(self, sides: _Sides) -> DataFrame:
@@ -257,9 +281,12 @@ class GKMKernel(BaseGKMKernel):
     def _sides(self, df: DataFrame) -> _Sides:
         return _Sides(self._lmers(df), [], self.use_rc)
 
-    def _small(self, refs: DataFrame) -> bool:
+    def _blocks(self, refs: DataFrame) -> int:
+        """How many blocks of references are broadcast one by one: of dense tables of counts or sparse ones, as is less."""
         size = refs.agg(F.sum(F.length("seq"))).first()[0] or 0
-        return 2 * size * len(deltas(self.L, self.d)[0]) <= BROADCAST_ENTRIES
+        sparse = 2 * size * neighbour_count(self.L, self.d)
+        dense = 4**self.L * self.n_references if 4**self.L <= DENSE_CODES else sparse
+        return max(1, -(-min(sparse, dense) // BLOCK_ENTRIES))
 
     def kernel(self, *, X_query: DataFrame | None = None, X_ref: DataFrame | None = None, apply_transform: bool = True) -> DataFrame:
         """(q_id, r_id, k): of the references with themselves, or of queries with references."""
@@ -267,8 +294,10 @@ class GKMKernel(BaseGKMKernel):
             self.set_references(X_ref)
         refs = self._need()
         queries = refs if X_query is None else self._queries(X_query, self.L, "L")
-        if self.strategy == "broadcast" or (self.strategy == "auto" and self._small(refs)):
-            return self._by_broadcast(queries, refs, apply_transform)
+        blocks = self._blocks(refs) if self.strategy in ("auto", "broadcast") else MAX_BLOCKS + 1
+        if self.strategy == "broadcast" or blocks <= MAX_BLOCKS:
+            parts = [refs if blocks == 1 else refs.where(F.pmod(F.xxhash64("seq_id"), F.lit(blocks)) == i) for i in range(blocks)]
+            return functools.reduce(DataFrame.unionByName, [self._by_broadcast(queries, part, apply_transform) for part in parts])
         raw = self._raw(self._sides(queries), self._sides(refs)).select("q_id", "r_id", "raw")
         return self._normalised(raw, self.norms(queries), self.norms(refs), [], [], apply_transform)
 
@@ -282,36 +311,42 @@ class GKMKernel(BaseGKMKernel):
         n = n.astype(float)
         if use_rc:
             row, code, n = np.concatenate([row, row]), np.concatenate([code, array_rc(code, L)]), np.concatenate([n, n])
-        x, h = deltas(L, self.d)
-        key, value = _sum_duplicates(((code[:, None] ^ x) * len(found) + row[:, None]).ravel(), (n[:, None] * weights[h]).ravel())
-        dense = None
-        if 4**L <= DENSE_CODES and 4**L * len(found) <= BROADCAST_ENTRIES:
-            dense = np.zeros(4**L * len(found))
-            dense[key] = value
-            dense = dense.reshape(4**L, len(found))
-            key = value = key[:0]
-        shared = refs.sparkSession.sparkContext.broadcast((dense, key // len(found), key % len(found), value, [r[0] for r in found], np.array([norms[r[0]] for r in found])))
+        dense, key, value = None, np.zeros(0, np.int64), np.zeros(0)
+        fits = 4**L <= DENSE_CODES and 4**L * len(found) <= 2 * BLOCK_ENTRIES
+        if fits and len(code) * neighbour_count(L, self.d) > BLOCK_ENTRIES:
+            dense = spread_table(row, code, n, len(found), L, weights)
+        elif len(found):
+            x, h = deltas(L, self.d)
+            key, value = _sum_duplicates(((code[:, None] ^ x) * len(found) + row[:, None]).ravel(), (n[:, None] * weights[h]).ravel())
+            if fits:
+                dense = np.zeros(4**L * len(found))
+                dense[key] = value
+                dense = dense.reshape(4**L, len(found))
+                key = value = key[:0]
+        shared = refs.sparkSession.sparkContext.broadcast((dense, key // max(1, len(found)), key % max(1, len(found)), value, [r[0] for r in found], np.array([norms[r[0]] for r in found])))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             dense, codes, owner, value, ids, rn = shared.value
             m = len(ids)
-            for batch in batches:
-                q = Batch(batch.column(0), batch.column(1), 0)
-                row, code, n = grouped(*q.windows(L), 4**L)
-                cuts = np.searchsorted(row, np.arange(len(batch) + 1))
-                raw, qn = np.zeros((len(batch), m)), np.sqrt(np.maximum(0.0, self_sums(row, code, n, len(batch), L, weights, use_rc)))
-                for i in range(len(batch)):
-                    c, w = code[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]].astype(float)
-                    if dense is not None:
-                        raw[i] = w @ dense[c]
-                        continue
-                    low, high = np.searchsorted(codes, c), np.searchsorted(codes, c, side="right")
-                    size = high - low
-                    at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
-                    raw[i] = np.bincount(owner[at], weights=value[at] * np.repeat(w, size), minlength=m)
-                scale = np.outer(qn, rn)
-                k = np.divide(raw, scale, out=np.zeros_like(raw), where=scale > 0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), m))), pa.array(np.tile(np.array(ids, np.int64), len(batch))), pa.array(k.ravel())], names=["q_id", "r_id", "k"])
+            step = max(1, RESULT_ROWS // max(1, m))
+            for whole in batches:
+                for batch in (whole.slice(low, step) for low in range(0, len(whole), step)):
+                    q = Batch(batch.column(0), batch.column(1), 0)
+                    row, code, n = grouped(*q.windows(L), 4**L)
+                    cuts = np.searchsorted(row, np.arange(len(batch) + 1))
+                    raw, qn = np.zeros((len(batch), m)), np.sqrt(np.maximum(0.0, self_sums(row, code, n, len(batch), L, weights, use_rc)))
+                    for i in range(len(batch)):
+                        c, w = code[cuts[i] : cuts[i + 1]], n[cuts[i] : cuts[i + 1]].astype(float)
+                        if dense is not None:
+                            raw[i] = w @ dense[c]
+                            continue
+                        low, high = np.searchsorted(codes, c), np.searchsorted(codes, c, side="right")
+                        size = high - low
+                        at = np.arange(size.sum()) + np.repeat(low - (np.cumsum(size) - size), size)
+                        raw[i] = np.bincount(owner[at], weights=value[at] * np.repeat(w, size), minlength=m)
+                    scale = np.outer(qn, rn)
+                    k = np.divide(raw, scale, out=np.zeros_like(raw), where=scale > 0)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(np.repeat(np.arange(len(batch)), m))), pa.array(np.tile(np.array(ids, np.int64), len(batch))), pa.array(k.ravel())], names=["q_id", "r_id", "k"])
 
         rows = queries.select(F.col("seq_id").cast("long"), F.upper(F.col("seq")).cast("binary"))
         out = rows.mapInArrow(run, "q_id long, r_id long, k double")
@@ -328,7 +363,7 @@ class GKMKernel(BaseGKMKernel):
         q = _Sides(_windowed(self._lmers(queries), window, shift, left, right, self.L), ["window_idx"], self.use_rc)
         r = self._sides(refs)
         # Windows are told apart by an id of their own, so that the join is that of whole sequences.
-        step = raw_by_neighbours
+        step = self._step()
         table = step(q.forward.withColumn("seq_id", F.struct("seq_id", "window_idx")).select("seq_id", "code", "n"), r.both, [], self.L, self.d, self._weights)
         raw = table.select(F.col("q_id.seq_id").alias("q_id"), F.col("q_id.window_idx").alias("window_idx"), "r_id", "raw")
         return self._normalised(raw, self._norms(q), self.norms(refs), ["window_idx"], [], apply_transform)

@@ -279,12 +279,17 @@ def scan_best_window(spark, sf_dir):
 
 
 def _chunks(spark: SparkSession, sf_dir: str, size: int = 24) -> DataFrame:
-    """All whole pieces of ``size`` letters of the benchmark sequences: sequences of one length."""
-    pieces = F.posexplode(F.regexp_extract_all("seq", F.lit(f"(.{{{size}}})"), F.lit(1)))
-    return benchmark_sequences(spark, sf_dir).select("seq_id", pieces.alias("i", "seq")).select((F.col("seq_id") * 1000 + F.col("i")).alias("seq_id"), "seq")
+    """Pieces of ``size`` letters that cover the benchmark sequences: the last one ends with its sequence and may overlap
+    the one before; a shorter sequence is repeated up to the size."""
+    seq = F.when(F.length("seq") < size, F.expr(f"left(repeat(seq, {size}), {size})")).otherwise(F.col("seq"))
+    whole = benchmark_sequences(spark, sf_dir).where(F.length("seq") > 0).select("seq_id", seq.alias("seq"))
+    pieces = whole.select("seq_id", "seq", F.explode(F.sequence(F.lit(0), F.ceil(F.length("seq") / size).cast("int") - 1)).alias("i"))
+    first = F.least(F.col("i") * size, F.length("seq") - size) + 1
+    return pieces.select((F.col("seq_id") * 1000 + F.col("i")).alias("seq_id"), F.col("seq").substr(first, F.lit(size)).alias("seq"))
 
 
-_CHUNKS = f"{_ITEMS}, chunks AS (SELECT seq_id * 1000 + i AS seq_id, substr(seq, i::INT * 24 + 1, 24) AS seq FROM (SELECT *, unnest(range(0, length(seq) // 24)) AS i FROM items))"
+_CHUNKS = f"""{_ITEMS}, whole AS (SELECT seq_id, CASE WHEN length(seq) < 24 THEN substr(repeat(seq, 24), 1, 24) ELSE seq END AS seq FROM items WHERE length(seq) > 0),
+chunks AS (SELECT seq_id * 1000 + i AS seq_id, substr(seq, least(i * 24, length(seq) - 24)::INT + 1, 24) AS seq FROM (SELECT *, unnest(range(0, (length(seq) + 23) // 24)) AS i FROM whole))"""
 
 
 @_add("gkm_windowed_self", _kernel_sql("cw", "cw", mismatch_weights(_L, _K, _D), use_rc=True, by="window_idx", same=True, value=_ROUNDED, head=f"{_CHUNKS}, {_window_cte('cw', 'chunks', 12, 4, 0, 2)}"))

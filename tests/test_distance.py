@@ -76,4 +76,18 @@ def test_kernels(spark):
 
 def test_broadcast_join_only(spark):
     df = spark.createDataFrame([(0, "ACGT"), (1, "ACGA")], "seq_id long, seq string")
+    small = df.limit(2)
+    for pairs in (Levenshtein().cdist(df, small), Levenshtein().cdist(small, df)):
+        assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in Levenshtein().cdist(df)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_product_in_blocks(spark, monkeypatch):
+    from strandloom.operators import distance
+
+    df = spark.createDataFrame([(i, "ACGT" * (i % 5) + "TTG" * (i % 3), f"l{i}") for i in range(40)], "seq_id long, seq string, label string")
+    want = sorted(map(tuple, Levenshtein().cdist(df.limit(25), df, keep=("label",)).collect())), sorted(map(tuple, Levenshtein().pdist(df).collect()))
+    monkeypatch.setattr(distance, "BROADCAST_BYTES", 300)
+    pairs = Levenshtein().cdist(df.limit(25), df, keep=("label",))
+    assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
+    assert (sorted(map(tuple, pairs.collect())), sorted(map(tuple, Levenshtein().pdist(df).collect()))) == want

@@ -134,3 +134,29 @@ def test_errors(spark):
 
 def test_lower_case_is_accepted(spark):
     assert values(GKMKernel(6, 4, 1).set_references(frame(spark, [s.lower() for s in SIX])).kernel()) == values(GKMKernel(6, 4, 1).set_references(frame(spark, SIX)).kernel())
+
+
+@pytest.mark.parametrize("entries", [900, 20_000])
+def test_blocks_of_references_agree(spark, monkeypatch, entries):
+    """References in blocks, by dense tables through transforms or sparse ones, give what one table gives."""
+    from strandloom.operators import gkm
+
+    refs = frame(spark, SIX + [reverse_complement(s) for s in SIX])
+    for use_rc in (False, True):
+        want = values(GKMKernel(4, 2, 2, use_rc=use_rc).set_references(refs).kernel())
+        monkeypatch.setattr(gkm, "BLOCK_ENTRIES", entries)
+        monkeypatch.setattr(gkm, "RESULT_ROWS", 30)
+        kernel = GKMKernel(4, 2, 2, use_rc=use_rc, strategy="broadcast").set_references(refs)
+        got = values(kernel.kernel())
+        monkeypatch.undo()
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_weighted_cross(spark):
+    """Queries that are the references give the self kernel; a slice of offsets is a centre each."""
+    refs, weighted = frame(spark, FOUR), WGKMKernel(6, 4, 1, weight_kernel="gaussian", weight_sigma=6, use_rc=True)
+    own = values(weighted.set_references(refs).kernel())
+    cross = values(weighted.kernel(X_query=refs))
+    assert own.keys() == cross.keys() and all(cross[k] == pytest.approx(own[k]) for k in own)
+    many = values(weighted.kernel(offsets=slice(2, 9, 3)), "center_idx")
+    assert {c for _, _, c in many} == {0, 1, 2}
