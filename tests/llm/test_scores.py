@@ -295,6 +295,38 @@ def test_gradient_through_time(monkeypatch):
         at += n
 
 
+def test_score_against_plain_loops():
+    """Word by word in double precision: gates, state, class and word probabilities."""
+    rng = np.random.default_rng(6)
+    v = lm.Vocabulary(np.arange(lm.HEAD, dtype=np.uint64), np.arange(lm.HEAD, dtype=np.int32), np.arange(lm.HEAD, 0, -1), np.full(lm.TAILS, 9.0), 10**6, 4000)
+    flat = lm.start(v) + (rng.standard_normal(lm._SIZE) * 0.05).astype(np.float32)
+    net = {k: x.astype(float) for k, x in lm.unpack(flat).items()}
+    tail_log = rng.random(lm.TAILS)
+    size = np.array([1, 40, 7, 0, 90])
+    bounds = np.concatenate([[0], np.cumsum(size)])
+    ids = rng.integers(0, lm.HEAD + lm.TAILS, bounds[-1])
+    sigmoid, k, per = lambda x: 1 / (1 + np.exp(-x)), lm.HIDDEN, lm._PER_CLASS
+    want = []
+    for a, z in zip(bounds[:-1], bounds[1:], strict=True):
+        h, last, total = np.zeros(k), 0, 0.0
+        for y in ids[a:z]:
+            x, u = net["table"][last] @ net["inward"] + net["inward_b"], h @ net["loop"]
+            update, reset = sigmoid(x[:k] + u[:k]), sigmoid(x[k : 2 * k] + u[k : 2 * k])
+            h = (1 - update) * np.tanh(x[2 * k :] + reset * u[2 * k :]) + update * h
+            kind = y // per if y < lm.HEAD else y - lm.HEAD + lm.CLASSES
+            p = np.exp(h @ net["class_w"] + net["class_b"])
+            total += math.log10(p[kind] / p.sum())
+            if y < lm.HEAD:
+                members = range(kind * per, min(lm.HEAD, (kind + 1) * per))
+                q = [math.exp(net["word_w"][i] @ h + net["word_b"][i]) for i in members]
+                total += math.log10(q[y - members[0]] / sum(q))
+            else:
+                total -= tail_log[y - lm.HEAD]
+            last = y
+        want.append(total)
+    assert lm.score(flat, ids, bounds, 0, tail_log, lanes=3, steps=8) == pytest.approx(want, rel=1e-4, abs=1e-9)
+
+
 def test_state_is_carried_over_windows():
     v = lm.Vocabulary(np.arange(50, dtype=np.uint64), np.arange(50, dtype=np.int32), np.full(50, 5), np.full(lm.TAILS, 2.0), 250, 50)
     flat = lm.start(v)
