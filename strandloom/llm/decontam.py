@@ -31,7 +31,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -277,6 +277,17 @@ def _suspects(packed: DataFrame, table: np.ndarray, sizes: list[int]) -> DataFra
     return packed.mapInArrow(run, schema)
 
 
+def _joined(spans: Column) -> Column:
+    """Sorted spans with those that touch or overlap made one."""
+
+    def add(done: Column, s: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        longer = F.struct(last["first"].alias("first"), F.greatest(last["stop"], s["stop"]).alias("stop"))
+        return F.when((F.size(done) > 0) & (last["stop"] >= s["first"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(F.concat(done, F.array(s)))
+
+    return F.aggregate(spans, F.array().cast(_SPAN), add)
+
+
 _SPAN = "array<struct<first:bigint,stop:bigint>>"
 
 
@@ -292,7 +303,7 @@ def found(docs: DataFrame, items: DataFrame, text: str = "text", item_text: str
     for b in _blocks(sized, n):
         part = staged(_pass(suspects, b).where(F.size("items") > 0).drop("n_words"), "decontam-found")
         whole = part if whole is None else whole.unionByName(part)
-    merged = whole.groupBy("uid").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
+    merged = whole.groupBy("uid").agg(_joined(F.array_sort(F.flatten(F.collect_list("spans")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("longest").alias("longest"))
     return packed.drop("body", "suspect").join(merged, "uid", "left").select(
         "row", "n_words", F.coalesce("spans", F.array().cast(_SPAN)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("longest", F.lit(0).cast("long")).alias("longest")
     )
@@ -321,21 +332,18 @@ def _pass(packed: DataFrame, b: Block) -> DataFrame:
 
 
 def judged(df: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``found`` rows with n_hit (words in any span, once each) and contaminated."""
-    # Spans of several blocks may overlap: words are counted over sorted spans.
-    n_hit = F.aggregate(
-        F.array_sort("spans"),
-        F.struct(F.lit(0).cast("long").alias("upto"), F.lit(0).cast("long").alias("n")),
-        lambda a, s: F.struct(F.greatest(a["upto"], s["stop"]).alias("upto"), (a["n"] + F.greatest(F.lit(0).cast("long"), s["stop"] - F.greatest(a["upto"], s["first"]))).alias("n")),
-    )["n"]
-    df = df.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0).cast("long")))
+    """``found`` rows with n_hit (words in spans, which don't overlap) and contaminated."""
+    zero = F.lit(0).cast("long")
+    df = df.withColumn("n_hit", F.aggregate("spans", zero, lambda n, s: n + s["stop"] - s["first"]))
     return df.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * F.lit(100 // percent) >= F.col("n_words")))
 
 
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row a document: counts, digest of the items found, verdict, longest verbatim match in words, and the places of hit words."""
+    """One row a document: counts, digest of the items found, verdict, longest verbatim match in words, and the places of
+    the hit words (``hit_spans``: first-stop, counted from 0, stop excluded)."""
     df = judged(found(docs.select("doc_id", "text"), items))
-    return df.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"))
+    places = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["stop"])), ",")
+    return df.select(F.col("row.doc_id").alias("doc_id"), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", F.col("longest").alias("longest_match"), places.alias("hit_spans"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:

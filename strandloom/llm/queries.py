@@ -120,14 +120,17 @@ bn AS (SELECT item_id, i, n, list_slice(w, i, i + n - 1) AS k FROM (SELECT item_
 sizes AS (SELECT DISTINCT n FROM bn),
 dn AS (SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS k FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, sizes WHERE len(w) >= n)),
 m AS (SELECT dn.doc_id, dn.i AS p, dn.n, bn.item_id, bn.i AS q FROM dn JOIN bn ON dn.n = bn.n AND dn.k = bn.k),
-h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS x FROM m) GROUP BY doc_id),
+hx AS (SELECT DISTINCT doc_id, unnest(range(p, p + n)) AS x FROM m),
+h AS (SELECT doc_id, count(DISTINCT x) AS n_hit FROM hx GROUP BY doc_id),
+sp AS (SELECT doc_id, string_agg((a - 1) || '-' || z, ',' ORDER BY a) AS hit_spans FROM (SELECT doc_id, min(x) AS a, max(x) AS z
+        FROM (SELECT doc_id, x, x - row_number() OVER (PARTITION BY doc_id ORDER BY x) AS g FROM hx) GROUP BY doc_id, g) GROUP BY doc_id),
 it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS sha FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM m) GROUP BY doc_id),
 g AS (SELECT DISTINCT doc_id, item_id, p, q, n FROM m),
 lm AS (SELECT doc_id, max(len) AS longest FROM (SELECT doc_id, item_id, d, grp, count(*) - 1 + any_value(n) AS len
         FROM (SELECT doc_id, item_id, n, p - q AS d, p - row_number() OVER (PARTITION BY doc_id, item_id, p - q ORDER BY p) AS grp FROM g) GROUP BY ALL) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, coalesce(sha, sha256('')) AS items_sha256,
-       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match
-FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lm USING (doc_id)
+       coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated, coalesce(longest, 0)::BIGINT AS longest_match, coalesce(hit_spans, '') AS hit_spans
+FROM dw LEFT JOIN h USING (doc_id) LEFT JOIN sp USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN lm USING (doc_id)
 """
 
 SQL["op5_arc_to_warc"] = """
