@@ -7,7 +7,7 @@ from collections import Counter
 
 import pytest
 
-from strandloom.llm import decontam, mixing, rules
+from strandloom.llm import decontam, mixing, rules, scratch
 
 
 def words(t):
@@ -121,6 +121,8 @@ def test_decontamination(spark, odd_docs, no_docs):
         assert sorted((tuple(r)[:6] for r in decontam.report(d, b).collect()), key=repr) == brute(docs, items)
     finally:
         decontam.BLOCK_BYTES = limit
+    spans = {r.doc_id: r.hit_spans for r in decontam.report(d, b).collect()}
+    assert (spans[20], spans[21], spans[22], spans[26]) == ("1-16", "", "0-30", "0-6")
     stay = {r.doc_id for r in decontam.decontaminated(d, b).collect()}
     assert not stay & {20, 22, 23, 26} and {21, 24, 25} <= stay
     assert decontam.report(odd_docs, b.limit(0)).where("contaminated").count() == 0
@@ -148,3 +150,31 @@ def test_decontamination_of_long_texts_and_many_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "block", lambda rows: built.append(sum(len(t) for _, t in rows)) or make(rows))
     assert sorted((tuple(r) for r in decontam.report(d, b).collect()), key=repr) == one
     assert len(built) >= 20 and max(built) < 3000
+
+
+def test_scratch(spark, tmp_path, monkeypatch):
+    table = scratch.staged(spark.range(3).toDF("x"), "kept")
+    monkeypatch.setattr(scratch, "shared_dir", lambda _: f"file://{tmp_path}")
+    scratch.staged(spark.range(3).toDF("x"), "gone")
+    assert list((tmp_path / "strandloom").rglob("*.parquet"))
+    scratch.clear(spark)
+    assert not list((tmp_path / "strandloom").rglob("*.parquet")) and table.count() == 3
+
+
+def test_folder_where_none_is_set():
+    class Bare:
+        def __init__(self, master):
+            self.sparkContext, self.conf = self, self
+            self.master, self.applicationId = master, f"app-{master}"
+
+        def get(self, key, default=None):
+            return default
+
+        def getConf(self):
+            return self
+
+    one = scratch.shared_dir(Bare("local[4]"))
+    assert one.startswith("file:///") and scratch.shared_dir(Bare("local[4]")) == one
+    for cluster in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            scratch.shared_dir(Bare(cluster))
