@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from ..functions.sequences import code_to_kmer
 
 OUT = "seq_id long, col int, feature string, cnt long"
+#: Encoders of at most so many columns name them all at the start of a task.
+NAMED_COLUMNS = 1 << 14
 _CODE = np.full(256, 255, np.uint8)
 for _i, _c in enumerate(b"ACGT"):
     _CODE[_c] = _i
@@ -74,9 +76,13 @@ def array_rc(code: np.ndarray, k: int) -> np.ndarray:
 
 def grouped(row: np.ndarray, code: np.ndarray, width: int, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, code, count) of each pair; codes are below ``width``."""
-    key, inverse, n = np.unique(row * width + code, return_inverse=True, return_counts=True)
-    if weight is not None:
-        n = np.bincount(inverse, weights=weight, minlength=len(key)).astype(np.int64)
+    if weight is None:  # a plain sort, which is vectorised, and the lengths of its runs
+        key = np.sort(row * width + code)
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+        key, n = key[first], np.diff(np.concatenate([first, [len(key)]]))
+        return key // width, key % width, n
+    key, inverse = np.unique(row * width + code, return_inverse=True)
+    n = np.bincount(inverse, weights=weight, minlength=len(key)).astype(np.int64)
     return key // width, key % width, n
 
 
@@ -125,31 +131,47 @@ class Encoder:
         return spark.range(self.columns()).mapInArrow(run, "col int, feature string")
 
     def transform(self, df: DataFrame) -> DataFrame:
-        count, name, shortest = self.count, self.feature_name, self.shortest
+        """(seq_id, col, feature, cnt) of each feature of each sequence."""
+        count, name, shortest, width = self.count, self.feature_name, self.shortest, self.columns()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            every = pa.array([name(c) for c in range(width)], pa.string()) if width <= NAMED_COLUMNS else None
             names: dict[int, str] = {}
             for batch in batches:
                 row, col, n = count(Batch(batch.column(0), batch.column(1), shortest))
-                seen, at = np.unique(col, return_inverse=True)
-                labels = pa.array([names.get(c) or names.setdefault(c, name(c)) for c in seen.tolist()], pa.string())
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col.astype(np.int32)), labels.take(pa.array(at)), pa.array(n.astype(np.int64))], names=["seq_id", "col", "feature", "cnt"])
+                if every is not None:
+                    labels = every.take(pa.array(col))
+                else:
+                    seen, at = np.unique(col, return_inverse=True)
+                    labels = pa.array([names.get(c) or names.setdefault(c, name(c)) for c in seen.tolist()], pa.string()).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(col.astype(np.int32)), labels, pa.array(n.astype(np.int64))], names=["seq_id", "col", "feature", "cnt"])
 
         return df.select(F.col("seq_id").cast("long"), F.col("seq").cast("binary")).mapInArrow(run, OUT)
 
+    def arrays(self, df: DataFrame) -> DataFrame:
+        """(seq_id, cols, cnts): one row a sequence, its columns in order; row-local, and far fewer rows than ``transform``."""
+        count, shortest = self.count, self.shortest
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                row, col, n = count(Batch(batch.column(0), batch.column(1), shortest))
+                order = np.lexsort((col, row))
+                cuts = pa.array(np.searchsorted(row[order], np.arange(len(batch) + 1)).astype(np.int32))
+                lists = [pa.ListArray.from_arrays(cuts, pa.array(x[order].astype(kind))) for x, kind in ((col, np.int32), (n, np.int64))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["seq_id", "cols", "cnts"])
+
+        return df.select(F.col("seq_id").cast("long"), F.col("seq").cast("binary")).mapInArrow(run, "seq_id long, cols array<int>, cnts array<long>")
+
     def vectors(self, df: DataFrame) -> DataFrame:
-        """(seq_id, features) with a sparse vector for each sequence, empty ones included."""
-        size = self.columns()
-        # A sequence has at most as many features as windows.
-        rows = self.transform(df).groupBy("seq_id").agg(F.sort_array(F.collect_list(F.struct("col", "cnt"))).alias("x"))
-        return df.select(F.col("seq_id").cast("long").alias("seq_id")).join(rows, "seq_id", "left").select("seq_id", sparse_vector(F.col("x"), size).alias("features"))
+        """(seq_id, features) with a sparse vector for each sequence, empty ones included; no shuffle."""
+        return self.arrays(df).select("seq_id", sparse_vector(F.col("cols"), F.col("cnts"), self.columns()).alias("features"))
 
 
-def sparse_vector(pairs, size: int):
+def sparse_vector(cols, cnts, size: int):
     from pyspark.ml.linalg import SparseVector, VectorUDT
     from pyspark.sql.functions import udf
 
-    return udf(lambda x: SparseVector(size, [(p["col"], float(p["cnt"])) for p in x or []]), VectorUDT())(pairs)
+    return udf(lambda c, n: SparseVector(size, c, [float(x) for x in n]), VectorUDT())(cols, cnts)
 
 
 def _check_k(k: int, low: int = 1, high: int = 12) -> int:

@@ -102,3 +102,16 @@ def test_spectrum_property(spark, seqs):
 def test_parameters(make):
     with pytest.raises(ValueError):
         make()
+
+
+@pytest.mark.parametrize("encoder", [SpectrumEncoder(3), SpectrumEncoder(3, canonical_rc=True), MismatchEncoder(3, 1), GappyEncoder(L=2, g_max=1)])
+def test_arrays_and_vectors_are_the_rows(spark, encoder):
+    df = spark.createDataFrame([(1, "ACGTACGTTT"), (2, "AC"), (3, ""), (4, "TTTTTT")], "seq_id long, seq string")
+    want = {}
+    for r in encoder.fit(df).transform(df).collect():
+        want.setdefault(r.seq_id, {})[r.col] = r.cnt
+    got = {r.seq_id: dict(zip(r.cols, r.cnts, strict=True)) for r in encoder.arrays(df).collect()}
+    assert got == {i: want.get(i, {}) for i in (1, 2, 3, 4)}
+    assert all(list(r.cols) == sorted(r.cols) for r in encoder.arrays(df).collect())
+    assert "Exchange" not in encoder.vectors(df)._jdf.queryExecution().executedPlan().toString()
+    assert {r.seq_id: dict(zip(r.features.indices.tolist(), r.features.values.astype(int).tolist(), strict=True)) for r in encoder.vectors(df).collect()} == got
