@@ -6,14 +6,16 @@ none is above its cap.  Sources are filled in order of cap / weight: the
 ones at their cap are a prefix of that order, so one pass over running sums finds it.
 
 A source with target t and w words is repeated t / w times: each document
-``floor(t / w)`` times whole, and once more if its seeded hash of the id falls below
-the source's cut.  The cut is the edge of a hash bin at which the words of the
-documents below it come nearest to what is still missing; it needs sums per
+``floor(t / w)`` times whole, and once more if its seeded hash of the id falls between the source's
+start and cut.  Start is one of ``STARTS`` bins evenly apart and cut the edge of a hash bin, so that the words of the
+documents between them come nearest to what is still missing; with so many starts, a long document
+at one edge does not decide how near that is.  It needs sums per
 bin only, never an ordered source, and reruns agree whatever the partitions.
 
 Null texts have no words.  Null sources are one source, last in order.  A document
-without words is taken 0 words.  Repeated rows share a hash and are taken alike.
-An empty table gives no rows.
+without words is taken 0 words.  Repeated rows share a hash and are taken alike.  Very
+long texts are counted whole and taken whole.  An empty table gives no rows.  Rows travel packed, so their columns may have
+any names.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
 SEED = "mix-1"
 BINS = 1 << 16
+STARTS = 32
 #: Source rows that are broadcast at most; beyond, the join shuffles.
 BROADCAST_ROWS = 50_000
 
@@ -60,7 +63,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs:
 
 
 def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, source_size, target, whole, cut) from rows (source, size, bin)."""
+    """(source, source_size, target, whole, start, cut) from rows (source, size, bin)."""
     bins = staged(sized.groupBy("source", "bin").agg(F.sum("size").alias("words")), "mix-bins")
     goal = targets(bins.groupBy("source").agg(F.sum("words").alias("source_size")), weights, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -69,15 +72,27 @@ def plan(sized: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_epochs: flo
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
     edges = bins.select("source", (F.col("bin") + 1).alias("cut"), upto.alias("below"))
     edges = edges.unionByName(goal.select("source", F.lit(0).alias("cut"), F.lit(0).cast("long").alias("below"))).alias("e")
-    near = edges.join(goal.alias("g"), F.col("e.source").eqNullSafe(F.col("g.source"))).groupBy(F.col("e.source").alias("at")).agg(F.min_by("cut", F.struct(F.abs(F.col("below") - F.col("missing")), "cut")).alias("cut"))
-    return goal.join(near, F.col("source").eqNullSafe(F.col("at"))).select("source", "source_size", "target", "whole", "cut")
+    # Words in front of each start, of every source: a row a source and start.
+    fronts = F.array(*[F.struct(F.lit(i * (BINS // STARTS)).alias("start"), F.coalesce(F.sum(F.when(F.col("bin") < i * (BINS // STARTS), F.col("words"))), F.lit(0)).alias("front")) for i in range(STARTS)])
+    starts = bins.groupBy("source").agg(fronts.alias("fronts"))
+    open_ = goal.alias("g").join(starts.alias("s"), F.col("g.source").eqNullSafe(F.col("s.source"))).select(F.col("g.source").alias("at"), "missing", "fronts")
+    if _few(open_):
+        open_ = F.broadcast(open_)
+    near = edges.join(open_, F.col("e.source").eqNullSafe(F.col("at"))).select("at", "missing", "cut", "below", F.explode("fronts").alias("f")).where(F.col("cut") >= F.col("f.start"))
+    off = F.abs(F.col("below") - F.col("f.front") - F.col("missing"))
+    near = near.groupBy("at").agg(F.min(F.struct(off.alias("off"), F.col("f.start").alias("start"), "cut")).alias("best"))
+    return goal.join(near, F.col("source").eqNullSafe(F.col("at"))).select("source", "source_size", "target", "whole", "best.start", "best.cut")
+
+
+def _few(table: DataFrame) -> bool:
+    return len(table.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS
 
 
 def _with_plan(df: DataFrame, table: DataFrame, source: str) -> DataFrame:
-    side = table.select(F.col("source").alias("_at"), F.struct("source_size", "target", "whole", "cut").alias("_mix"))
-    if len(table.limit(BROADCAST_ROWS + 1).select(F.lit(1)).collect()) <= BROADCAST_ROWS:
+    side = table.select(F.col("source").alias("_at"), F.struct("source_size", "target", "whole", "start", "cut").alias("_mix"))
+    if _few(table):
         side = F.broadcast(side)
-    return df.join(side, F.col(source).eqNullSafe(F.col("_at"))).withColumn("_copies", F.col("_mix.whole") + F.when(F.col("_bin") < F.col("_mix.cut"), 1).otherwise(0))
+    return df.join(side, F.col(source).eqNullSafe(F.col("_at"))).withColumn("_copies", F.col("_mix.whole") + F.when((F.col("_bin") >= F.col("_mix.start")) & (F.col("_bin") < F.col("_mix.cut")), 1).otherwise(0))
 
 
 def sized(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:

@@ -106,9 +106,10 @@ t AS (SELECT source, source_size, least(cap, coalesce((SELECT arg_min(level, str
 g AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::INT AS whole FROM t),
 e AS (SELECT source, bin + 1 AS cut, sum(sum(size)) OVER (PARTITION BY source ORDER BY bin) AS below FROM d GROUP BY source, bin
       UNION ALL SELECT source, 0, 0 FROM s),
-c AS (SELECT g.source, g.source_size, g.target, g.whole, arg_min(e.cut, struct_pack(a := abs(e.below - (g.target - g.whole * g.source_size)), b := e.cut)) AS cut
-      FROM g JOIN e ON e.source IS NOT DISTINCT FROM g.source GROUP BY ALL)
-SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN bin < cut THEN 1 ELSE 0 END)::BIGINT AS taken, whole + CASE WHEN bin < cut THEN 1 ELSE 0 END AS copies
+st AS (SELECT source, start, coalesce(sum(size) FILTER (bin < start), 0) AS front FROM d, (SELECT unnest(range(0, 65536, 2048))::INT AS start) GROUP BY source, start),
+c AS (SELECT g.source, g.source_size, g.target, g.whole, arg_min(struct_pack(a := st.start, z := e.cut), struct_pack(a := abs(e.below - st.front - (g.target - g.whole * g.source_size)), b := st.start, c := e.cut)) AS best
+      FROM g JOIN e ON e.source IS NOT DISTINCT FROM g.source JOIN st ON st.source IS NOT DISTINCT FROM g.source AND e.cut >= st.start GROUP BY ALL)
+SELECT doc_id, size, source_size, target, size * (whole + CASE WHEN bin >= best.a AND bin < best.z THEN 1 ELSE 0 END)::BIGINT AS taken, whole + CASE WHEN bin >= best.a AND bin < best.z THEN 1 ELSE 0 END AS copies
 FROM d JOIN c ON d.source IS NOT DISTINCT FROM c.source
 """
 

@@ -85,6 +85,10 @@ def test_mix(spark, odd_docs, no_docs):
     many = spark.createDataFrame([(i, "w " * (i % 7 + 1), f"s{i % 3}") for i in range(3000)], "doc_id long, text string, source string")
     taken = mixing.mixed_sizes(many).groupBy("source_size", "target").sum("taken").collect()
     assert all(abs(r["sum(taken)"] - r.target) <= 7 for r in taken)
+    rng = random.Random(12)
+    uneven = spark.createDataFrame([(i, "w " * int(10 * rng.paretovariate(1.6)), f"s{i % 12:02d}") for i in range(600)], "doc_id long, text string, source string")
+    taken = mixing.mixed_sizes(uneven).groupBy("source_size", "target").sum("taken").collect()
+    assert all(abs(r["sum(taken)"] - r.target) <= 0.03 * r.target for r in taken)
 
 
 def brute(docs, items):
