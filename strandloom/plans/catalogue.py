@@ -17,6 +17,7 @@ from ..operators.ann import ANNIndex
 from ..operators.distance import KERNEL_TRANSFORMS, DistanceKernel, Hamming, Levenshtein, NeedlemanWunsch, SmithWaterman
 from ..operators.encoders import GappyEncoder, MismatchEncoder, SpectrumEncoder, deltas, generate_masks
 from ..operators.gkm import GKMKernel, WGKMKernel, WindowedGKMKernel, WindowedWGKMKernel
+from ..operators import analysis
 from ..operators.models import DifferentialKmerScorer, KernelSVM, KNNClassifier, LinearSVM
 from ..operators.perturb import Chunker, KmerShuffler
 from ..sources.tables import benchmark_sequences, document_sequences, table
@@ -278,6 +279,22 @@ def scan_best_window(spark, sf_dir):
     return scan.groupBy("q_id", "r_id").agg(F.max_by("window_idx", F.struct("k", -F.col("window_idx"))).alias("best_window"), F.max("k").alias("k"))
 
 
+_SCAN_SCORES = f"SELECT q_id, window_idx, round(sum(k * (r_id % 5 - 2)), 6) + 0.25 AS score FROM ({_SQL['gkm_sliding_scan']}) GROUP BY ALL"
+
+
+@_add("scan_scores", _SCAN_SCORES)
+def scan_scores(spark, sf_dir):
+    """Windows scored by references whose coefficients are a rule of their id."""
+    rule = benchmark_sequences(spark, sf_dir).select(F.col("seq_id").alias("r_id"), (F.col("seq_id") % 5 - 2).cast("double").alias("coef"))
+    found = analysis.scan_scores(gkm_sliding_scan(spark, sf_dir), rule)
+    return found.select("q_id", "window_idx", (F.round("score", 6) + 0.25).alias("score"))
+
+
+@_add("scan_score_peaks", f"SELECT q_id, arg_max(window_idx, [score, -window_idx]) AS window_idx, max(score) AS score FROM ({_SCAN_SCORES}) GROUP BY q_id")
+def scan_score_peaks(spark, sf_dir):
+    return analysis.peaks(scan_scores(spark, sf_dir))
+
+
 def _chunks(spark: SparkSession, sf_dir: str, size: int = 24) -> DataFrame:
     """Pieces of ``size`` letters that cover the benchmark sequences: the last one ends with its sequence and may overlap
     the one before; a shorter sequence is repeated up to the size."""
@@ -326,6 +343,14 @@ for _kind in _POSITION_SQL:
     _weighted_query(_kind)
 
 
+@_add("wgkm_cross", f"SELECT q_id, r_id, k FROM ({_kernel_sql('qw', 'pw', mismatch_weights(_L, _K, _D), use_rc=True, by='center_idx', same=True, value=_ROUNDED, head=_weighted_cte('gaussian', [11.5]) + ', qw AS (SELECT * FROM pw WHERE (seq_id // 1000) % 100 = 0)')})")
+def wgkm_cross(spark, sf_dir):
+    """Pieces of items whose id is divisible by 100 against all pieces."""
+    chunks = _chunks(spark, sf_dir)
+    kernel = WGKMKernel(_L, _K, _D, use_rc=True, weight_kernel="gaussian", weight_sigma=8).set_references(chunks)
+    return _rounded(kernel.kernel(X_query=chunks.where(F.floor(F.col("seq_id") / 1000) % 100 == 0)))
+
+
 @_add("wgkm_offsets", _kernel_sql("pw", "pw", mismatch_weights(_L, _K, _D), use_rc=True, by="center_idx", same=True, value=_ROUNDED, head=_weighted_cte("gaussian", [7.5, 11.5, 16.5])))
 def wgkm_offsets(spark, sf_dir):
     kernel = WGKMKernel(_L, _K, _D, use_rc=True, weight_kernel="gaussian", weight_sigma=8)
@@ -422,6 +447,16 @@ _NEAR = f"""WITH {_DOCS}, t AS (SELECT seq_id, seq, quality AS label FROM docs J
  v AS (SELECT q_id AS seq_id, label, count(*) AS n FROM n WHERE r <= 5 GROUP BY ALL)"""
 
 
+@_add(
+    "knn_distance_weights",
+    f"""{_NEAR.replace("SELECT q.seq_id AS q_id, t.label,", "SELECT q.seq_id AS q_id, t.label, levenshtein(q.seq, t.seq)::DOUBLE AS d,")},
+ e AS (SELECT q_id AS seq_id, label, CASE WHEN min(d) OVER (PARTITION BY q_id) > 0 THEN 1 / d WHEN d = 0 THEN 1 ELSE 0 END AS v FROM n WHERE r <= 5)
+ SELECT seq_id, label, round(sum(v) / sum(sum(v)) OVER (PARTITION BY seq_id), 6) + 0.0 AS proba FROM e GROUP BY seq_id, label""",
+)
+def knn_distance_weights(spark, sf_dir):
+    return _rounded(KNNClassifier(Levenshtein(), 5, weights="distance").fit(_spread(_labelled(spark, sf_dir))).predict_proba(_searches(document_sequences(spark, sf_dir))), "proba")
+
+
 @_add("knn_levenshtein", f"{_NEAR} SELECT seq_id, arg_min(label, [-n, label]) AS predicted FROM v GROUP BY ALL")
 def knn_levenshtein(spark, sf_dir):
     return KNNClassifier(Levenshtein(), 5).fit(_spread(_labelled(spark, sf_dir))).predict(_searches(document_sequences(spark, sf_dir)))
@@ -505,20 +540,60 @@ def differential_decision(spark, sf_dir):
     return _scorer(spark, sf_dir).decision_function(document_sequences(spark, sf_dir)).select("seq_id", (F.round("decision", 5) + F.lit(0.0)).alias("decision"))
 
 
+@_add(
+    "differential_auc",
+    f"""{_DECISION}, j AS (SELECT round(x, 5) + 0.0 AS x, quality AS y FROM dd JOIN labels ON doc_id = seq_id WHERE quality IN (0, 1)),
+ g AS (SELECT x, sum(CASE WHEN y = 1 THEN 1.0::DOUBLE ELSE 0 END) AS p, sum(CASE WHEN y = 0 THEN 1.0::DOUBLE ELSE 0 END) AS n FROM j GROUP BY x),
+ b AS (SELECT p, n, coalesce(sum(n) OVER (ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+ SELECT round(sum(p * (below + n / 2)) / (sum(p) * sum(n)), 6) AS auc FROM b""",
+)
+def differential_auc(spark, sf_dir):
+    """How well the decisions order the labelled documents."""
+    marks = table(spark, sf_dir, "labels").where("quality IN (0, 1)").select(F.col("doc_id").alias("seq_id"), F.col("quality").alias("label"))
+    return _rounded(analysis.auc(differential_decision(spark, sf_dir).join(marks, "seq_id")), "auc")
+
+
 @_add("differential_proba", f"{_DECISION} SELECT seq_id, round(1 / (1 + exp(-x)), 5) + 0.0 AS proba FROM dd")
 def differential_proba(spark, sf_dir):
     return _scorer(spark, sf_dir).predict_proba(document_sequences(spark, sf_dir)).select("seq_id", (F.round("proba", 5) + F.lit(0.0)).alias("proba"))
 
 
+def _gc_labelled(spark, sf_dir) -> DataFrame:
+    """Items with label 1 if their share of G and C is above the median."""
+    items = _long(benchmark_sequences(spark, sf_dir))
+    rows = items.withColumn("gc", F.length(F.regexp_replace("seq", "[AT]", "")) / F.length("seq"))
+    middle = rows.agg(F.expr("percentile(gc, 0.5)").alias("middle"))  # one row
+    return rows.crossJoin(F.broadcast(middle)).select("seq_id", "seq", (F.col("gc") > F.col("middle")).cast("int").alias("label"))
+
+
 @_add("kernel_svm_predict")
 def kernel_svm_predict(spark, sf_dir):
-    """Items labelled by their share of G and C, learned from the kernel and predicted again."""
-    items = _long(benchmark_sequences(spark, sf_dir))
-    gc = F.length(F.regexp_replace("seq", "[AT]", "")) / F.length("seq")
-    rows = items.withColumn("label", F.when(gc > 0.3, 1).otherwise(0))
-    if rows.select("label").distinct().count() < 2:
-        rows = rows.withColumn("label", (F.col("seq_id") % 2).cast("int"))
-    return KernelSVM(GKMKernel(_L, _K, _D, use_rc=True), C=10.0).fit(rows).predict(items)
+    """Learned from the items with an even id, predicted for the others."""
+    rows = _gc_labelled(spark, sf_dir)
+    return KernelSVM(GKMKernel(_L, _K, _D, use_rc=True), C=10.0).fit(rows.where("seq_id % 2 = 0")).predict(rows.where("seq_id % 2 <> 0").select("seq_id", "seq"))
+
+
+@_add("kernel_grid_auc")
+def kernel_grid_auc(spark, sf_dir):
+    """Schemes and transforms, learned from the even ids and judged on the others."""
+    rows = _gc_labelled(spark, sf_dir)
+    grid = [(f"{scheme}/{change}", GKMKernel(_L, _K, _D, kernel_type=scheme, use_rc=True, transform=change, transform_gamma=2.0, transform_coef0=1.0, transform_degree=2)) for scheme in ("full", "truncated") for change in ("linear", "rbf")]
+    return analysis.kernel_grid(rows.where("seq_id % 2 = 0"), rows.where("seq_id % 2 <> 0"), grid)
+
+
+@_add("kernel_linkage")
+def kernel_linkage(spark, sf_dir):
+    """The average-linkage tree of all items by kernel distance."""
+    kernel = GKMKernel(_L, _K, _D, kernel_type="truncated", use_rc=True).set_references(_long(benchmark_sequences(spark, sf_dir))).kernel()
+    merges = analysis.average_linkage(analysis.kernel_distances(kernel))
+    return spark.createDataFrame([(i, *m) for i, m in enumerate(merges)], "step int, a int, b int, height double, size int")
+
+
+@_add("differential_stringency")
+def differential_stringency(spark, sf_dir):
+    """Enriched k-mers of the items against backgrounds that keep counts of longer and longer words."""
+    items = benchmark_sequences(spark, sf_dir)
+    return analysis.stringency(items, lambda k: DifferentialKmerScorer(SpectrumEncoder(4, canonical_rc=True), background=KmerShuffler(k, seed=42)), range(1, 5))
 
 
 @_add("linear_svm_predict")
