@@ -18,6 +18,8 @@ the ends of texts.  All training texts are read whole, at every size: a seeded h
 The first words of one worker warm up the model; all workers then go on from there on all their own texts, and their
 weights are averaged, in two levels.
 
+Each text is turned into numbers once, in a written table that training and scoring both read.
+
 *Scoring.*  Whole texts, one behind the other in many lanes, in windows between which the state is carried.
 
 Null texts are empty: one end token.  Repeated rows count and are scored one by one.  Where ids repeat or are
@@ -51,7 +53,7 @@ WORKER_TOKENS = 1_800_000
 WARM_TOKENS, WARM_LANES = 300_000, 64  # the warm-up, which all workers wait for
 LANES, STEPS, RATE = 256, 32, 0.15
 SCORE_LANES = 128
-SCORE_BYTES = 24 << 20  # of text scored at a time, or one text
+SCORE_WORDS = 4_000_000  # scored at a time, or one text
 _TABLE = tx.byte_table(lower=True)
 _END = np.uint64(0x2B992DDFA23249D6)  # the end token's code
 
@@ -468,25 +470,37 @@ def _average(rows: DataFrame) -> np.ndarray:
     return (total / sum(r["n"] for r in found)).astype(np.float32)
 
 
-def _trained(docs: DataFrame, v: Vocabulary, total_tokens: int) -> np.ndarray:
-    """Weights of the model.  docs: (uid, trains, body)."""
-    spark = docs.sparkSession
-    first = start(v)
-    if not v.tokens:
-        return first
+def _end(v: Vocabulary) -> int:
+    return int(v.ids(np.array([_END]), np.zeros(1, np.uint8))[0])
+
+
+def _streams(docs: DataFrame, v: Vocabulary) -> DataFrame:
+    """(uid, doc_id, held_out, trains, ids, worker): each text's words by number, two bytes each, for training and scoring."""
+    shared = docs.sparkSession.sparkContext.broadcast(v)
     workers = max(1, round(v.tokens / WORKER_TOKENS))
-    shared = spark.sparkContext.broadcast(v)
-    end = int(v.ids(np.array([_END]), np.zeros(1, np.uint8))[0])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = shared.value
         for batch in batches:
-            b = block(batch.column(1))
-            ids = words.ids(b.code, b.tail).astype(np.uint16)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([ids[a:z].tobytes() for a, z in zip(b.bounds[:-1], b.bounds[1:], strict=True)], pa.binary())], names=["uid", "ids"])
+            b = block(batch.column(4))
+            raw = pa.py_buffer(words.ids(b.code, b.tail).astype(np.uint16))
+            ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(batch), [None, pa.py_buffer((2 * b.bounds).astype(np.int64)), raw]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], ids], names=["uid", "doc_id", "held_out", "trains", "ids"])
 
-    streams = docs.where("trains").select("uid", "body").mapInArrow(encode, "uid long, ids binary")
-    streams = staged(streams.withColumn("worker", F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(workers))), "lm-streams")
+    kinds = docs.select("uid", "doc_id", "held_out", "trains").schema.add("ids", "binary")
+    streams = docs.select("uid", "doc_id", "held_out", "trains", "body").mapInArrow(encode, kinds)
+    return staged(streams.withColumn("worker", F.pmod(F.xxhash64("uid", F.lit(13)), F.lit(workers))), "lm-streams")
+
+
+def _trained(streams: DataFrame, v: Vocabulary) -> np.ndarray:
+    """Weights of the model, from all rows that train."""
+    spark = streams.sparkSession
+    first = start(v)
+    if not v.tokens:
+        return first
+    workers = max(1, round(v.tokens / WORKER_TOKENS))
+    end = _end(v)
+    streams = streams.where("trains").select("uid", "ids", "worker")
 
     def fitter(weights: np.ndarray, lanes: int, most: int | None = None):
         base = spark.sparkContext.broadcast(weights)
@@ -532,22 +546,21 @@ def scored(docs: DataFrame, text: str = "text") -> DataFrame:
 
     sides = [counted.select("part", "block", "uids", "codes", "first", "texts", "times"), sums.where("block >= 0").select("part", "block", "counts")]
     plain = sides[0].groupBy("block").cogroup(sides[1].groupBy("block")).applyInArrow(per_text, "uid long, n_tokens long, n_known long, log_all double, log_tail double")
-    weights = _trained(rows, v, v.tokens)
-    model = spark.sparkContext.broadcast((weights, v))  # under 2 MB
-    end = int(v.ids(np.array([_END]), np.zeros(1, np.uint8))[0])
+    streams = _streams(rows, v)
+    model = spark.sparkContext.broadcast((_trained(streams, v), np.log10(v.mass)))  # under 1 MB
+    end = _end(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, words = model.value
+        flat, tail_log = model.value
         for batch in batches:
-            at = np.cumsum(np.diff(tx.binary_parts(batch.column(3))[0])) // SCORE_BYTES
-            cuts = [0, *(np.flatnonzero(np.diff(at)) + 1).tolist(), len(batch)]
+            bounds, raw = tx.binary_parts(batch.column(3))
+            cuts = [0, *(np.flatnonzero(np.diff((bounds[1:] - bounds[0]) // (2 * SCORE_WORDS))) + 1).tolist(), len(batch)]
             for low, high in zip(cuts[:-1], cuts[1:], strict=True):
-                piece = batch.slice(low, high - low)
-                b = block(piece.column(3))
-                values = score(flat, words.ids(b.code, b.tail), b.bounds, end, np.log10(words.mass))
-                yield pa.RecordBatch.from_arrays([*piece.columns[:3], pa.array(values)], names=["uid", "doc_id", "held_out", "gated"])
+                ids = raw[bounds[low] : bounds[high]].view(np.uint16).astype(np.int64)
+                values = score(flat, ids, (bounds[low : high + 1] - bounds[low]) // 2, end, tail_log)
+                yield pa.RecordBatch.from_arrays([*[c.slice(low, high - low) for c in batch.columns[:3]], pa.array(values)], names=["uid", "doc_id", "held_out", "gated"])
 
-    gated = base.select("uid", "doc_id", "held_out", "body").mapInArrow(run, "uid long, doc_id long, held_out boolean, gated double")
+    gated = streams.select("uid", "doc_id", "held_out", "ids").mapInArrow(run, streams.select("uid", "doc_id", "held_out").schema.add("gated", "double"))
     out = gated.join(plain, "uid")
     whole = math.log10(v.tokens + v.words + 1)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(v.tokens).cast("long").alias("train_tokens"), (F.col("log_all") - F.col("n_tokens") * F.lit(whole)).alias("base_score"), (F.col("gated") + F.col("log_tail")).alias("score"))

@@ -221,8 +221,8 @@ def test_language_model(spark, odd_docs, no_docs, monkeypatch):
 
 @pytest.mark.parametrize("tokens", [900_000, 3_000_000, 60_000_000])
 def test_all_training_texts_reach_the_network(spark, monkeypatch, tokens):
-    rows = [(i, i % 5 != 0, f"w{i} w{i + 1} w0".encode()) for i in range(400)]
-    docs = spark.createDataFrame(rows, "uid long, trains boolean, body binary")
+    rows = [(i, i, i % 5 == 0, i % 5 != 0, f"w{i} w{i + 1} w0".encode()) for i in range(400)]
+    docs = spark.createDataFrame(rows, "uid long, doc_id long, held_out boolean, trains boolean, body binary")
     v = lm.Vocabulary(np.array([lm._END], np.uint64), np.array([0], np.int32), np.array([400]), np.full(lm.TAILS, 3.0), tokens, 400)
     kept = {}
 
@@ -233,9 +233,12 @@ def test_all_training_texts_reach_the_network(spark, monkeypatch, tokens):
     write = lm.staged
     monkeypatch.setattr(lm, "staged", keep)
     monkeypatch.setattr(lm, "WORKER_TOKENS", tokens // 3)
-    assert not np.array_equal(lm._trained(docs, v, tokens), lm.start(v))
-    got = kept["lm-streams"].collect()
-    assert sorted(r.uid for r in got) == [i for i, trains, _ in rows if trains]
+    seen = []
+    monkeypatch.setattr(lm, "_average", lambda weights, average=lm._average: seen.append(weights) or average(weights))
+    streams = lm._streams(docs, v)
+    assert not np.array_equal(lm._trained(streams, v), lm.start(v))
+    got = streams.collect()
+    assert sorted(r.uid for r in got) == list(range(400)) and {r.uid for r in got if r.trains} == {r[0] for r in rows if r[3]}
     assert all(len(r.ids) == 4 * 2 for r in got)  # three words and the end token
     assert {r.worker for r in got} == {r.worker for r in kept["lm-weights"].collect()} == {0, 1, 2}
 
