@@ -8,7 +8,7 @@ result; the smaller side is broadcast, in blocks of a checked size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -107,11 +107,22 @@ def _align(a: bytes, b: bytes, table: np.ndarray, gap: float, local: bool) -> fl
     return best if local else float(row[-1])
 
 
+def read_matrix(lines: Iterable[str]) -> tuple[str, np.ndarray]:
+    """(letters, scores) of a matrix in the common text form: comments, a line of letters, a line for each letter."""
+    rows = [x.split() for x in lines if x.strip() and not x.startswith("#")]
+    letters = "".join(rows[0])
+    if any(len(x) != 1 for x in rows[0]) or [r[0] for r in rows[1:]] != rows[0] or any(len(r) != len(letters) + 1 for r in rows[1:]):
+        raise ValueError("rows and columns of the matrix differ")
+    return letters, np.array([[float(x) for x in r[1:]] for r in rows[1:]])
+
+
 class Alignment(BaseDistance):
+    """substitution_matrix: a name, a 4 x 4 array for A, C, G, T, or (letters, array), as from :func:`read_matrix`."""
+
     local = False
     is_distance = False
 
-    def __init__(self, match: float = 1, mismatch: float = -1, gap: float = -1, substitution_matrix: str | np.ndarray | None = None, as_distance: bool = False):
+    def __init__(self, match: float = 1, mismatch: float = -1, gap: float = -1, substitution_matrix: str | np.ndarray | tuple[str, np.ndarray] | None = None, as_distance: bool = False):
         if isinstance(substitution_matrix, str):
             if substitution_matrix.upper() not in ("NUC4.4", "NUC.4.4", "NUC44", "DNAFULL"):
                 raise ValueError(f"unknown substitution matrix {substitution_matrix!r}")
@@ -122,10 +133,12 @@ class Alignment(BaseDistance):
         np.fill_diagonal(self.table, float(match))
         self.top = float(match)
         if isinstance(substitution_matrix, np.ndarray):
-            for i, x in enumerate(b"ACGT"):
-                for j, y in enumerate(b"ACGT"):
-                    self.table[x, y] = float(substitution_matrix[i, j])
-            self.top = float(np.max(substitution_matrix))
+            substitution_matrix = ("ACGT", substitution_matrix)
+        if isinstance(substitution_matrix, tuple):
+            letters, scores = substitution_matrix
+            at = np.frombuffer(letters.encode("ascii"), np.uint8)
+            self.table[np.ix_(at, at)] = scores
+            self.top = float(np.max(scores))
 
     def pair(self, a, b):
         table, gap, local = self.table, float(self.gap), self.local

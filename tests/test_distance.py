@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.operators.distance import KERNEL_TRANSFORMS, DistanceKernel, Hamming, Levenshtein, NeedlemanWunsch, SmithWaterman
+from strandloom.operators.distance import DistanceKernel, Hamming, KERNEL_TRANSFORMS, Levenshtein, NeedlemanWunsch, SmithWaterman, read_matrix
 
 
 def pair(spark, d, a, b):
@@ -91,3 +91,13 @@ def test_product_in_blocks(spark, monkeypatch):
     pairs = Levenshtein().cdist(df.limit(25), df, keep=("label",))
     assert "CartesianProduct" not in pairs._jdf.queryExecution().executedPlan().toString()
     assert (sorted(map(tuple, pairs.collect())), sorted(map(tuple, Levenshtein().pdist(df).collect()))) == want
+
+
+def test_matrix_from_text(spark):
+    text = ["# made up", "   A  R  N", "A  4 -1 -2", "R -1  5  0", "N -2  0  6"]
+    letters, scores = read_matrix(text)
+    assert letters == "ARN" and scores[1, 1] == 5
+    d = NeedlemanWunsch(gap=-3, substitution_matrix=(letters, scores))
+    assert pair(spark, d, "ARN", "ARN") == 15 and pair(spark, d, "ARN", "AN") == 4 - 3 + 6
+    with pytest.raises(ValueError):
+        read_matrix(text[:-1])
