@@ -21,3 +21,26 @@ def test_alignment_searches_look_at_all_documents(spark, tmp_path, name, local):
     got = sorted((r["rank"], r.r_id, r.d) for r in catalogue.queries()[name](spark, str(tmp_path)).collect())
     want = sorted((distance(s), i) for i, s in seqs.items())[:10]
     assert got == [(n, i, d) for n, (d, i) in enumerate(want, 1)]
+
+
+def test_pruned_search_is_exact_and_looks_at_few(spark):
+    """Recall 1 against all distances, ties by id; few pairs are compared where lengths and letters differ."""
+    import random
+
+    from strandloom.operators.ann import ANNIndex
+    from strandloom.operators.distance import Levenshtein
+
+    rng = random.Random(3)
+    rows = [(i, "".join(rng.choices("ACGT", [rng.random() + 0.05 for _ in range(4)], k=rng.randrange(0, 90)))) for i in range(300)]
+    rows += [(400 + i, rows[i][1] + "ACG"[: i % 4]) for i in range(40)] + [(500, "NNNN"), (501, "")]
+    refs = spark.createDataFrame(rows, "seq_id long, seq string").repartition(3)
+    queries = refs.where("seq_id % 20 = 0")
+    every = Levenshtein().cdist(queries, refs).collect()
+    want = {q: [(r, d) for d, r in sorted((x.d, x.b_id) for x in every if x.a_id == q)[:5]] for q in {x.a_id for x in every}}
+    index, got = ANNIndex(refs), {}
+    for r in sorted(index.query(queries, k=5).collect(), key=lambda r: (r.q_id, r["rank"])):
+        got.setdefault(r.q_id, []).append((r.r_id, r.d))
+    assert got == want
+    assert index._pruned(queries, 5).count() < 0.4 * len(every)
+    few = ANNIndex(refs.limit(3)).query(queries.limit(1), k=5).collect()
+    assert len(few) == 3
