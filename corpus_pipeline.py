@@ -4,6 +4,12 @@ Each stage works on all that its predecessor kept; its result is written as Parq
 shared folder and read again as the next one's documents, so that a lost executor
 costs a stage at most.  All stages but the last return the columns of documents, and
 so does the last, with rows as often as the mix takes them.
+
+Odd rows, stage by stage: texts without words (null, empty, blank) break the base rule of the first stage and go there; given to a
+later stage by themselves, they stay, each a class of its own, clean, unchanged, and are taken 0 words or as often as their
+source.  Rows that repeat are one in near_dedup and alike in all others; different texts under one id are documents of their own.
+Null ids stay.  Very long texts are read whole.  An empty table gives an empty one with the same columns, and
+further columns travel along whatever their names.
 """
 
 from __future__ import annotations

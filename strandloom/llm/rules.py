@@ -12,7 +12,11 @@ base rule.  Quantiles are those of texts that pass the base rules; a group
 with fewer than ``MIN_GROUP`` such texts takes the fences of the whole corpus.
 
 Null texts count as empty (no words, base rule broken).  Null languages and
-sources are groups of their own.  Repeated rows count as often as they occur.
+sources are groups of their own.  Repeated rows count as often as they occur, and are judged alike.  Very long texts are
+measured whole.  An empty table gives no rows.  The filter packs its rows, so their columns may have any names.
+
+The least spread of ``repeat_rate`` puts its fence above what the base rule lets pass, so that one repeated line of a short
+clean text stays: repeats are judged by the base rule, the other rates by their fences.
 """
 
 from __future__ import annotations

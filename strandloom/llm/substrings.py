@@ -22,7 +22,8 @@ passage in very many different surroundings) has its segments cut into single wi
 the hash of the window, so that no shard depends on how often a passage occurs.
 
 Null texts have no words.  Repeated rows are documents of their own and repeat each
-other.  Texts of fewer than 35 words stay whole.
+other, also under one id or none.  Texts of fewer than 35 words stay whole; very long ones are read whole.  An empty table gives
+no rows.  Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations

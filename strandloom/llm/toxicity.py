@@ -11,7 +11,8 @@ Labels are learned from a bounded sample, ``FIT_ROWS`` rows at most, drawn by a
 lexicon, trees, calibration.  Their texts are read whole, on executors: terms are counted there, and only
 chosen terms and one row of features a text come to the driver.  Null and empty texts have all-zero features and are
 scored like any other.  With fewer than ``MIN_CLASS`` ids of a class every
-text scores the base rate.  Rows are scored one by one; repeated rows score alike.
+text scores the base rate.  Rows are scored one by one; repeated rows score alike.  An id that repeats is learned from
+once.  An empty table gives no rows.  Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
