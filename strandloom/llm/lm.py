@@ -52,7 +52,7 @@ RANGE_BYTES = 16 << 20  # of text for each hash range
 WORKER_TOKENS = 1_800_000
 WARM_TOKENS, WARM_LANES = 300_000, 64  # the warm-up, which all workers wait for
 LANES, STEPS, RATE = 256, 32, 0.15
-SCORE_LANES = 128
+SCORE_LANES = 256
 SCORE_WORDS = 4_000_000  # scored at a time, or one text
 _TABLE = tx.byte_table(lower=True)
 _END = np.uint64(0x2B992DDFA23249D6)  # the end token's code
@@ -176,10 +176,16 @@ class Vocabulary(NamedTuple):
         """Head words by rank, others HEAD + tail class."""
         out = HEAD + tail.astype(np.int32)
         if len(self.codes):
-            at = np.searchsorted(self.codes, code)
-            at[at == len(self.codes)] = 0
-            known = self.codes[at] == code
-            out[known] = self.number[at[known]]
+            # Codes are hashes: hardly two head words begin with the same 16 bits, and only for those that do is there a search.
+            begin = (code >> np.uint64(48)).astype(np.uint16)
+            head = (self.codes >> np.uint64(48)).astype(np.uint16)
+            shared = np.bincount(head, minlength=1 << 16) > 1
+            at = np.searchsorted(head, np.arange(1 << 16)).astype(np.int32)
+            at[at == len(head)] = 0
+            at = at[begin]
+            more = np.flatnonzero(shared[begin])
+            at[more] = np.minimum(np.searchsorted(self.codes, code[more]), len(head) - 1)
+            out = np.where(self.codes[at] == code, self.number[at], out)
         return out
 
 
@@ -272,27 +278,48 @@ def start(v: Vocabulary, seed: int = 7) -> np.ndarray:
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return np.float32(0.5) * (np.tanh(np.float32(0.5) * x) + np.float32(1))
+    """In place."""
+    x *= np.float32(0.5)
+    np.tanh(x, out=x)
+    x += np.float32(1)
+    x *= np.float32(0.5)
+    return x
+
+
+def _inward(net: Net, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(vectors of ids (time, lane) and a last 1, what they bring to the gates), the latter with lanes next to each other in memory."""
+    drawn = np.concatenate([net["table"], np.ones((len(net["table"]), 1), np.float32)], axis=1).take(ids, axis=0)
+    weights = np.concatenate([net["inward"], net["inward_b"][None]])
+    return drawn, (weights.T @ drawn.transpose(0, 2, 1)).transpose(0, 2, 1)
+
+
+def _by_lane(t: int, lanes: int, k: int) -> np.ndarray:
+    """Empty (t, lanes, k) with lanes next to each other in memory, so that a gate of all lanes is one piece."""
+    return np.empty((t, k, lanes), np.float32).transpose(0, 2, 1)
 
 
 def _step(net: Net, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, tuple]:
     k = HIDDEN
-    a = h @ net["loop"]
+    a = (net["loop"].T @ h.T).T
     gates = _sigmoid(x[:, : 2 * k] + a[:, : 2 * k])
     z, r = gates[:, :k], gates[:, k:]
-    n = np.tanh(x[:, 2 * k :] + r * a[:, 2 * k :])
-    return n + z * (h - n), (z, r, n, a[:, 2 * k :])
-
-
-def _soften(x: np.ndarray, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log-softmax of each row at ``pick``, 1 / sum); x becomes its exponentials, in place."""
-    top = x.max()
-    if top > 60 or x.min() < -60:
+    n = r * a[:, 2 * k :]
+    n += x[:, 2 * k :]
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, a[:, 2 * k :])
+
+
+def _soften(x: np.ndarray, at: np.ndarray, reach: float) -> tuple[np.ndarray, np.ndarray]:
+    """(entries at the flat places ``at``, sums of the rows' exponentials, by which they are to be divided); x becomes its
+    exponentials, in place.  No entry is beyond ``reach``, which tells whether rows are brought down to 0 first."""
+    if not reach < 60:
         x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), pick]
+    own = x.reshape(-1)[at]
     np.exp(x, out=x)
-    total = x @ np.ones(x.shape[1], np.float32)
-    return own - np.log(total), np.float32(1) / total
+    return own, x @ np.ones(x.shape[1], np.float32)
 
 
 def _classes(ids: np.ndarray) -> np.ndarray:
@@ -301,43 +328,57 @@ def _classes(ids: np.ndarray) -> np.ndarray:
 
 def outputs(net: Net, h: np.ndarray, ids: np.ndarray, grad: Net | None = None) -> tuple[np.ndarray, np.ndarray | None]:
     """Natural log-probability of the class, and of the word in a head class; with ``grad``, the loss gradient by h too."""
+    k = h.shape[1]
     kind = _classes(ids).astype(np.uint8)
     order = np.argsort(kind, kind="stable")
-    h, kind, pick = h[order], kind[order], ids[order]
-    every = np.arange(len(ids))
-    x = h @ net["class_w"]
-    x += net["class_b"]
-    out, scale = _soften(x, kind)
-    out, back = out.astype(np.float64), None
+    kind = kind[order]
+    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+    heads = cuts[CLASSES]  # rows of head classes; those of tail classes stand behind them
+    h = np.concatenate([h, np.ones((len(h), 1), np.float32)], axis=1).take(order, axis=0)  # the last column meets the biases
+    class_w = np.concatenate([net["class_w"], net["class_b"][None]])
+    word_w = np.concatenate([net["word_w"], net["word_b"][:, None]], axis=1)
+    most = max(1.0, float(h.max(initial=0)), -float(h.min(initial=0)))
+    reach = most * np.abs(word_w).sum(axis=1)
+    x = h @ class_w
+    at = np.arange(len(x)) * x.shape[1] + kind
+    own, total = _soften(x, at, most * float(np.abs(class_w).sum(axis=0).max()))
+    out = (own - np.log(total)).astype(np.float64)
     if grad is not None:
-        x *= scale[:, None]
-        x[every, kind] -= 1
+        # With the row's sum taken off its own entry, exponentials over the sum are the gradient.
+        x.reshape(-1)[at] -= total
+        scale = np.float32(1) / total[:, None]
+        made = (h * scale).T @ x
+        grad["class_w"] += made[:k]
+        grad["class_b"] += made[k]
         back = x @ net["class_w"].T
-        grad["class_w"] += h.T @ x
-        grad["class_b"] += x.sum(axis=0)
-    cuts = np.searchsorted(kind, np.arange(CLASSES + 1))
+        back *= scale
+        made, inner = np.zeros_like(word_w), np.empty((heads, k), np.float32)
+    own, total = np.empty(heads, np.float32), np.empty(heads, np.float32)
+    place = ids[order[:heads]] - kind[:heads].astype(np.int64) * _PER_CLASS  # in the class
     for c in range(CLASSES):
         a, z = cuts[c], cuts[c + 1]
         if a == z:
             continue
         low, high = c * _PER_CLASS, min(HEAD, (c + 1) * _PER_CLASS)
-        x = h[a:z] @ net["word_w"][low:high].T
-        x += net["word_b"][low:high]
-        inner, scale = _soften(x, pick[a:z] - low)
-        out[a:z] += inner
+        x = h[a:z] @ word_w[low:high].T
+        at = np.arange(0, x.size, high - low) + place[a:z]
+        own[a:z], total[a:z] = _soften(x, at, reach[low:high].max())
         if grad is not None:
-            x *= scale[:, None]
-            x[np.arange(z - a), pick[a:z] - low] -= 1
-            back[a:z] += x @ net["word_w"][low:high]
-            grad["word_w"][low:high] += x.T @ h[a:z]
-            grad["word_b"][low:high] += x.sum(axis=0)
+            x.reshape(-1)[at] -= total[a:z]
+            made[low:high] = x.T @ (h[a:z] / total[a:z, None])
+            np.matmul(x, net["word_w"][low:high], out=inner[a:z])
+    out[:heads] += own - np.log(total)
     value = np.empty_like(out)
     value[order] = out
-    if back is None:
+    if grad is None:
         return value, None
-    spread = np.empty_like(back)
-    spread[order] = back
-    return value, spread
+    grad["word_w"] += made[:, :k]
+    grad["word_b"] += made[:, k]
+    inner /= total[:, None]
+    back[:heads] += inner
+    rank = np.empty_like(order)
+    rank[order] = np.arange(len(order))
+    return value, back.take(rank, axis=0)
 
 
 def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, steps: int = STEPS, rate: float = RATE) -> np.ndarray:
@@ -359,41 +400,54 @@ def train(flat: np.ndarray, stream: np.ndarray, end: int, lanes: int = LANES, st
         t_max = x_ids.shape[1]
         flat_grad = np.zeros(_SIZE, np.float32)
         grad = unpack(flat_grad)
-        words = np.ascontiguousarray(x_ids.T).reshape(-1)
-        drawn = net["table"][words]
-        x = (drawn @ net["inward"] + net["inward_b"]).reshape(t_max, lanes, 3 * k)
-        alive = (words != end).astype(np.float32).reshape(t_max, lanes, 1)
-        states, starts = np.empty((t_max, lanes, k), np.float32), np.empty((t_max, lanes, k), np.float32)
+        words = np.ascontiguousarray(x_ids.T)
+        drawn, x = _inward(net, words)
+        alive = (words != end).astype(np.float32)[:, :, None]
+        states, starts = _by_lane(t_max, lanes, k), _by_lane(t_max, lanes, k)
         kept = []
         for t in range(t_max):
-            starts[t] = h * alive[t]
+            np.multiply(h, alive[t], out=starts[t])
             h, saved = _step(net, x[t], starts[t])
             states[t] = h
             kept.append(saved)
         _, back = outputs(net, states.reshape(-1, k), y_ids.T.reshape(-1), grad)
-        back = back.reshape(t_max, lanes, k)
-        z, r, n, an = map(np.stack, zip(*kept, strict=True))
-        by_n, by_z, by_r = (1 - z) * (1 - n * n), (starts - n) * z * (1 - z), an * r * (1 - r)
-        dh = np.zeros((lanes, k), np.float32)
-        da, dx = np.empty((t_max, lanes, 3 * k), np.float32), np.empty((t_max, lanes, 3 * k), np.float32)
+        spread = _by_lane(t_max, lanes, k)
+        spread[:] = back.reshape(t_max, lanes, k)
+        dh = np.zeros((k, lanes), np.float32).T
+        da, dx = _by_lane(t_max, lanes, 3 * k), x  # x is not read any more
         for t in range(t_max - 1, -1, -1):
-            dh = dh + back[t]
-            dn = np.multiply(dh, by_n[t], out=dx[t, :, 2 * k :])
-            np.multiply(dh, by_z[t], out=da[t, :, :k])
-            np.multiply(dn, by_r[t], out=da[t, :, k : 2 * k])
-            np.multiply(dn, r[t], out=da[t, :, 2 * k :])
-            dh = (dh * z[t] + da[t] @ net["loop"].T) * alive[t]
+            z, r, n, an = kept[t]
+            dh += spread[t]
+            rest = 1 - z
+            by_z = starts[t] - n
+            by_z *= z
+            by_z *= rest
+            np.multiply(dh, by_z, out=da[t, :, :k])
+            rest *= 1 - n * n
+            dn = np.multiply(dh, rest, out=dx[t, :, 2 * k :])
+            np.multiply(dn, r, out=da[t, :, 2 * k :])
+            by_r = 1 - r
+            by_r *= da[t, :, 2 * k :]
+            np.multiply(by_r, an, out=da[t, :, k : 2 * k])
+            dh *= z
+            dh += (net["loop"] @ da[t].T).T
+            dh *= alive[t]
         dx[:, :, : 2 * k] = da[:, :, : 2 * k]
-        grad["loop"] += starts.reshape(-1, k).T @ da.reshape(-1, 3 * k)
-        dx = dx.reshape(-1, 3 * k)
-        grad["inward"] += drawn.T @ dx
-        grad["inward_b"] += dx.sum(axis=0)
-        cells = (words[:, None] * EMBED + np.arange(EMBED)).reshape(-1)
-        grad["table"] += np.bincount(cells, weights=(dx @ net["inward"].T).reshape(-1), minlength=(HEAD + TAILS) * EMBED).reshape(-1, EMBED)
+        grad["loop"] += (starts.transpose(0, 2, 1) @ da).sum(axis=0)
+        made = (drawn.transpose(0, 2, 1) @ dx).sum(axis=0)
+        grad["inward"] += made[:-1]
+        grad["inward_b"] += made[-1]
+        words = words.reshape(-1).astype(np.uint16)
+        order = np.argsort(words, kind="stable")
+        words = words[order]
+        first = np.flatnonzero(np.diff(words, prepend=words[0] + np.uint16(1)))
+        grad["table"][words[first]] += np.add.reduceat((dx @ net["inward"].T).reshape(-1, EMBED).take(order, axis=0), first)
         flat_grad /= lanes * t_max / 32
         np.clip(flat_grad, -5, 5, out=flat_grad)
         power += flat_grad * flat_grad
-        flat -= rate * flat_grad / np.sqrt(power)
+        flat_grad *= np.float32(rate)
+        flat_grad /= np.sqrt(power)
+        flat -= flat_grad
     return flat
 
 
@@ -436,16 +490,16 @@ def score(flat: np.ndarray, ids: np.ndarray, bounds: np.ndarray, end: int, tail_
         wide = min(steps, int(left[0]))
         inside = np.arange(wide)[:, None] < left
         places = np.minimum(lane_at[:active] + at + np.arange(wide)[:, None], len(ids) - 1)
-        x = (net["table"][before[places.reshape(-1)]] @ net["inward"] + net["inward_b"]).reshape(wide, active, -1)
+        _, x = _inward(net, before[places])
         alive = carried[places][:, :, None]
         h = h[:active]
-        states = np.empty((wide, active, HIDDEN), np.float32)
+        states = _by_lane(wide, active, HIDDEN)
         for t in range(wide):  # lanes that have ended go on without effect
             h, _ = _step(net, x[t], h * alive[t])
             states[t] = h
         places = places[inside]
         y = words[places]
-        value, _ = outputs(net, states[inside], y)
+        value, _ = outputs(net, states.reshape(-1, HIDDEN)[inside.reshape(-1)], y)
         value = value / math.log(10)
         is_tail = y >= HEAD
         value[is_tail] -= tail_log[y[is_tail] - HEAD]

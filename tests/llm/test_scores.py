@@ -267,6 +267,47 @@ def test_gradient():
         assert back[i, j] == pytest.approx(slope, abs=2e-3)
 
 
+def test_work_for_a_word(monkeypatch):
+    """Head words are found without a search for each word; a gate of all lanes is one piece of memory."""
+    rng = np.random.default_rng(4)
+    codes = np.unique(rng.integers(0, 2**64, lm.HEAD, dtype=np.uint64))
+    codes[1] = codes[0] + np.uint64(1)  # two that begin alike
+    v = lm.Vocabulary(codes, rng.permutation(len(codes)).astype(np.int32), np.full(len(codes), 3), np.full(lm.TAILS, 9.0), 10**6, 4000)
+    code = np.concatenate([rng.integers(0, 2**64, 200_000, dtype=np.uint64), rng.choice(codes, 200_000), codes - np.uint64(1), codes])
+    tail = rng.integers(0, lm.TAILS, len(code)).astype(np.uint8)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, x, *more, **named: searched.append(np.size(x)) or search(a, x, *more, **named))
+    got = v.ids(code, tail)
+    assert sum(searched) < len(code) / 2
+    number = dict(zip(codes.tolist(), v.number.tolist(), strict=True))
+    assert got.tolist() == [number.get(c, lm.HEAD + t) for c, t in zip(code.tolist(), tail.tolist(), strict=True)]
+    strides, step = set(), lm._step
+    monkeypatch.setattr(lm, "_step", lambda net, x, h: strides.add(x.strides[0]) or step(net, x, h))
+    flat = lm.train(lm.start(v), rng.integers(0, lm.HEAD, 3000), 0, lanes=8)
+    lm.score(flat, rng.integers(0, lm.HEAD, 300), np.arange(0, 301, 30), 0, np.zeros(lm.TAILS), lanes=4)
+    assert strides == {4}
+
+
+def test_outputs_of_large_weights():
+    """Beyond what single precision can exponentiate, against double precision."""
+    rng = np.random.default_rng(5)
+    net = {k: rng.standard_normal(shape).astype(np.float32) for k, shape in lm._SHAPES.items()}
+    for k in ("class_w", "word_w"):
+        net[k] *= 40
+    h = np.tanh(rng.standard_normal((50, lm.HIDDEN))).astype(np.float32)
+    ids = rng.integers(0, lm.HEAD + lm.TAILS, 50)
+    got, _ = lm.outputs(net, h, ids)
+    for g, row, y in zip(got, h.astype(float), ids, strict=True):
+        kind = lm._classes(np.array([y]))[0]
+        x = row @ net["class_w"] + net["class_b"]
+        want = x[kind] - np.logaddexp.reduce(x)
+        if y < lm.HEAD:
+            members = np.arange(kind * lm._PER_CLASS, min(lm.HEAD, (kind + 1) * lm._PER_CLASS))
+            x = net["word_w"][members] @ row + net["word_b"][members]
+            want += x[y - members[0]] - np.logaddexp.reduce(x)
+        assert g == pytest.approx(want, rel=1e-4, abs=1e-3)
+
+
 def test_gradient_through_time(monkeypatch):
     """One step of training moves each weight against the finite difference of the loss over a window."""
     rng = np.random.default_rng(3)
